@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.llm import percentiles as pct
+from groundwork.llm.leaks import find_leaks
 from groundwork.llm.runs import collapse_runs
 from groundwork.llm.tokens import encode_corpus
 from groundwork.sources.tables import records, table
@@ -88,5 +89,9 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(docs, "doc_id", "text", vocabulary("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_calls, p5_found, p5_percentiles, p6_ids)}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", ["question", "anchor"])
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_calls, p5_found, p5_percentiles, p6_ids, p7_found)}
 SQL: dict[str, str] = {}
