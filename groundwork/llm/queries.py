@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from groundwork.llm import percentiles as pct
 from groundwork.llm.leaks import find_leaks
 from groundwork.llm.runs import collapse_runs
+from groundwork.llm.spans import shared_spans
 from groundwork.llm.tokens import encode_corpus
 from groundwork.sources.tables import records, table
 
@@ -17,6 +18,25 @@ from groundwork.sources.tables import records, table
 TOOLS = ["web_search", "fetch_page", "search_documents", "recall_memory", "save_memory", "plan_research"]
 
 
+def _passages(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [
+        records(table(spark, folder, name), "rec_id", text).select(F.lit(name).alias("src_table"), "rec_id", F.col(text).alias("passage"))
+        for name, text in (("grounding_rows", "snippet"), ("miss_shapes", "sentence"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans(_passages(spark, folder), ["src_table", "rec_id"], "passage")
+
+
+def p1_shared(spark: SparkSession, folder: str) -> DataFrame:
+    """For every record how many of its characters are shared elsewhere."""
+    runs = p1_found(spark, folder).groupBy("src_table", "rec_id").agg(F.sum("span_len").alias("shared"), F.max("span_len").alias("longest"))
+    every = _passages(spark, folder).withColumn("characters", F.coalesce(F.length("passage"), F.lit(0))).drop("passage")
+    return every.join(runs, ["src_table", "rec_id"], "left").fillna(0, ["shared", "longest"])
+
+
 def _tool(name: str) -> str:
     """SQL: the tool that a name stands for by its letters, else the name as written."""
     letters = f"lower(regexp_replace({name}, '[^\\\\p{{L}}]', ''))"
@@ -93,5 +113,5 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", ["question", "anchor"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_calls, p5_found, p5_percentiles, p6_ids, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_calls, p5_found, p5_percentiles, p6_ids, p7_found)}
 SQL: dict[str, str] = {}
