@@ -8,59 +8,21 @@ sides, word by word, as far as a span that holds the k-gram can reach; what then
 
 from __future__ import annotations
 
-import html
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundwork.llm.text import readings
 from groundwork.runtime import BROADCAST_BYTES, broadcast_if_small, durable
 
 #: Words in a row that make a leak, and words of a k-gram.
 SPAN = 12
 GRAM = 8
 
-_BLOCK = "address|article|aside|blockquote|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|img|input|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|title|tr|ul"
-_COMMENT = regex.compile(r"<!--.*?-->|<(script|style)\b[^<>]*>.*?</\1\s*>", regex.S | regex.I)
-_BLOCK_TAG = regex.compile(rf"</?(?:{_BLOCK})\b[^<>]*>", regex.I)
-_TAG = regex.compile(r"</?[A-Za-z][^<>]*>")
-_CITATION = regex.compile(r"\[\s*\^?\d{1,4}(?:\s*[,;–-]\s*\^?\d{1,4})*\s*\]|[¹²³⁰⁴-⁹⁺⁻]+")
-_LINK = regex.compile(r"\[([^\[\]\n]*)\]\((?:[^()\s]|\([^()\s]*\))*(?:\s+\"[^\"\n]*\")?\)")
-_EMPHASIS = regex.compile(r"[*`~]+")
-_INVISIBLE = regex.compile(r"[\p{Cf}\p{Variation_Selector}]+")
-_DIVIDED = regex.compile(r"(?<=[\p{L}\p{N}])[-‐]\p{Cf}*[ \t]*(?:\r\n?|\n)[ \t>|*•]*(?=[\p{L}\p{N}])")
-_SOFT = regex.compile(r"\xad[ \t]*(?:\r\n?|\n)[ \t]*")
-_SYMBOL = regex.compile(r"[\p{So}\p{Sc}\p{Sk}]+")
-_WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
-
-
-def readings(text: str) -> list[list[str]]:
-    """The words of a text as a reader sees them: runs of letters and digits, whatever case, punctuation, layout, markup,
-    citation markers or encoding of characters. A hyphen at a line's end may divide a word or belong to it; a text with any
-    has both readings."""
-    t = text
-    if "<" in t:
-        t = _TAG.sub("", _BLOCK_TAG.sub(" ", _COMMENT.sub(" ", t)))
-    if "&" in t:
-        t = html.unescape(t)
-    if "](" in t:
-        t = _LINK.sub(r"\1", t)
-    t = _EMPHASIS.sub("", _CITATION.sub(" ", t))
-    t = _SOFT.sub("", t)
-    joined = _DIVIDED.sub("", t)
-    return [_words(joined)] + ([_words(t)] if joined != t else [])
-
-
-def _words(t: str) -> list[str]:
-    t = _SYMBOL.sub(" ", _INVISIBLE.sub("", t))
-    t = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())
-    return _WORD.findall(t)
-
 
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwork.llm import percentiles as pct
 from groundwork.llm.leaks import find_leaks
 from groundwork.llm.runs import collapse_runs
 from groundwork.llm.spans import shared_spans
+from groundwork.llm.subjects import found_subjects, subject_shares
 from groundwork.llm.tokens import encode_corpus
 from groundwork.sources.tables import records, table
 
@@ -113,5 +114,22 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", ["question", "anchor"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_calls, p5_found, p5_percentiles, p6_ids, p7_found)}
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each document the sentences on each subject and their share."""
+    names = [r.subject for r in table(spark, folder, "subjects").where("subject is not null").select("subject").distinct().collect()]
+    return subject_shares(table(spark, folder, "documents"), "doc_id", "text", sorted(names), table(spark, folder, "subject_labels"), "doc_id", "subject")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return found_subjects(p8_shares(spark, folder)).select("doc_id", "subject")
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of the corpus each subject makes: documents on it, and its share of all sentences on any."""
+    by = p8_shares(spark, folder).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"))
+    total = F.sum("sentences").over(Window.partitionBy(F.lit(0)))
+    return by.withColumn("share", F.col("sentences") / total)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_calls, p5_found, p5_percentiles, p6_ids, p7_found, p8_found, p8_shares, p8_mixture)}
 SQL: dict[str, str] = {}
