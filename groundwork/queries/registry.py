@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundwork.queries import problems
+from groundwork.queries import problems, retrieval, stats, store, text
 
-MODULES = [problems]
+MODULES = [problems, text, store, stats, retrieval]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
