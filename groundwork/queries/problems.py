@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from groundwork.operators.nested import Child, child_table, link_table, record_column, unnest
 from groundwork.operators.sessions import gap_tree, sessions
+from groundwork.queries.text import latest
 from groundwork.sources.tables import records, table
 
 VISIT_GAP_S = 15 * 60
@@ -38,7 +39,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_sessions(spark: SparkSession, folder: str) -> DataFrame:
     s = sessions(_visits(spark, folder), VISIT_GAP_S)
-    return s.select(F.col("entity").alias("user_id"), F.col("first_id").alias("first_run_id"), "started_at", "ended_at", "duration_s", "events")
+    return s.select(F.col("entity").alias("user_id"), F.col("first_id").alias("first_run_id"), F.col("last_id").alias("last_run_id"), "started_at", "ended_at", "duration_s", "events")
 
 
 def p3_gap_settings(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,4 +93,42 @@ def p4_attempts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_sessions, p3_gap_settings, p4_found, p4_records, p4_tools, p4_attempts)}
-SQL: dict[str, str] = {}
+
+_VISITS = (
+    "r as (select run_id, lower(trim(user_id)) as u, created_at as t from " + latest("runs", "run_id") + " where length(trim(user_id)) > 0 and created_at is not null),"
+    " g as (select *, date_diff('microsecond', lag(t) over w, t) as gap from r window w as (partition by u order by t, run_id)),"
+    " n as (select *, sum(case when gap <= {0} then 0 else 1 end) over (partition by u order by t, run_id) as k from g)"
+)
+_SESSION = "select u, arg_min(run_id, (t, run_id)) as a, arg_max(run_id, (t, run_id)) as z, min(t) as s, max(t) as e, count(*) as c from n group by u, k"
+_RAW = latest("quick_path_raw", "record_id")
+_LAYER = (
+    "case json_type(j) when 'VARCHAR' then try_cast(j ->> '$' as json) when 'ARRAY' then case when json_array_length(j) = 1 then j -> 0 end"
+    " when 'OBJECT' then coalesce(j -> 'run', j -> 'data', j -> 'attributes', j) end"
+)
+_RECORD = "w0 as (select record_id, try_cast(trim(regexp_replace(payload, '^\\x{FEFF}', ''), chr(10) || ' ') as json) as j from " + _RAW + ")"
+for _i in range(1, 6):
+    _RECORD += f", w{_i} as (select record_id, {_LAYER} as j from w{_i - 1} where j is not null)"
+_RECORD += ", rec as (select record_id, j from w5 where json_type(j) = 'OBJECT')"
+_FIELD = "case when json_type(j -> '{0}') = 'VARCHAR' and regexp_matches(ltrim(j ->> '{0}'), '^[\\[{{]') then try_cast(j ->> '{0}' as json) else j -> '{0}' end"
+
+
+def _child_sql(field: str) -> str:
+    """A list by position, an object of objects by key, and anything else as one entry."""
+    keyed = "json_type(x) = 'OBJECT' and len(list_filter(json_keys(x), lambda k: json_type(x -> ('$.\"' || k || '\"')) not in ('OBJECT', 'NULL'))) = 0"
+    return (
+        f"(select record_id, k, v from (select record_id, unnest(case when json_type(x) = 'ARRAY' then list_transform(range(0, json_array_length(x)::bigint), lambda i: {{'k': i::varchar, 'v': x -> i::int}}) when {keyed} then list_transform(json_keys(x), lambda k: {{'k': k, 'v': x -> ('$.\"' || k || '\"')}})"
+        f" else [{{'k': '0', 'v': x}}] end, recursive := true) from (select record_id, {_FIELD.format(field)} as x from rec) where x is not null and json_type(x) <> 'NULL') where v is not null and json_type(v) <> 'NULL')"
+    )
+
+
+_TOOLS = _child_sql("tools")
+SQL = {
+    "p3_found": f"with {_VISITS.format(900000000)} select u as user_id, a as first_run_id, z as last_run_id from ({_SESSION})",
+    "p3_sessions": f"with {_VISITS.format(900000000)} select u as user_id, a as first_run_id, z as last_run_id, s as started_at, e as ended_at, date_diff('microsecond', s, e) / 1e6::double as duration_s, c as events from ({_SESSION})",
+    "p3_gap_settings": " union all ".join(f"select {m} as gap_minutes, count(*) as sessions, max(c) as longest_events from (with {_VISITS.format(m * 60_000_000)} {_SESSION})" for m in (1, 5, 15, 60, 240)),
+    "p4_found": f"with {_RECORD} select record_id, 'tools' as child, k as child_key from {_TOOLS} union all select record_id, 'coverage_reasons', k from {_child_sql('coverage_reasons')} union all select record_id, 'warnings', k from {_child_sql('warnings')}"
+    f" union all select record_id, 'attempts', k || '.' || i from (select record_id, k, unnest(range(0, json_array_length(v -> 'attempts')::bigint)) as i from {_TOOLS} where json_type(v -> 'attempts') = 'ARRAY')"
+    " union all select record_id, 'phases_ms', k from (select record_id, j, unnest(json_keys(j -> 'phases_ms')) as k from rec where json_type(j -> 'phases_ms') = 'OBJECT') where json_type(j -> 'phases_ms' -> k) <> 'NULL'"
+    " union all select record_id, 'by_namespace', unnest(json_keys(j -> 'cache' -> 'by_namespace')) from rec where json_type(j -> 'cache' -> 'by_namespace') = 'OBJECT'",
+    "p4_tools": f"with {_RECORD} select record_id, k as child_key, v ->> 'name' as name, try_cast(v ->> 'ms' as bigint) as ms, try_cast(v ->> 'ok' as boolean) as ok, try_cast(v ->> 'cached' as boolean) as cached, v ->> 'summary' as summary from {_TOOLS}",
+}

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundwork.queries import problems, retrieval, stats, store, text
+from groundwork.queries import answers, evidence, problems, retrieval, state, stats, store, streams, text
 
-MODULES = [problems, text, store, stats, retrieval]
+MODULES = [problems, text, store, stats, retrieval, evidence, state, streams, answers]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return problems.p3_sessions(spark, folder)
+    """Questions answered end to end: retrieved, cited, validated against the sources, one row per question."""
+    return answers.extractive_answers(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
