@@ -102,7 +102,8 @@ class Weights:
             if half == 0:
                 total = np.stack([np.bincount(doc, part[:, c], minlength=docs) for c in range(k)], axis=1) if docs else mixture
                 mixture = (total + 0.1) / (total + 0.1).sum(axis=1, keepdims=True) if docs else mixture
-        by_sentence = np.stack([np.bincount(row, part[:, c], minlength=n) for c in range(k)], axis=1) if n else np.zeros((0, k))
+        # without any anchored term bincount would count in whole numbers
+        by_sentence = np.stack([np.bincount(row, part[:, c], minlength=n) for c in range(k)], axis=1).astype(float) if n else np.zeros((0, k))
         return place, part[:, :k], by_sentence
 
 
