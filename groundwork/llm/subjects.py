@@ -228,7 +228,7 @@ def subject_shares(
         again = counted(durable(docs.mapInPandas(recount, f"term string, {columns}").groupBy("term").agg(*_sums(k))))
         weights = again or weights
     shared = spark.sparkContext.broadcast(weights.parts())
-    names = list(subjects)
+    names = np.asarray(subjects, dtype=object)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = Weights(*shared.value)
@@ -240,7 +240,7 @@ def subject_shares(
             np.add.at(counts, (document[on], by_sentence[on].argmax(axis=1)), 1)
             d, s = np.nonzero(counts)
             share = counts[d, s] / counts.sum(axis=1)[d]
-            yield pd.DataFrame({"k": batch["k"].to_numpy()[d], "subject": [names[i] for i in s], "sentences": counts[d, s], "share": share})
+            yield pd.DataFrame({"k": batch["k"].to_numpy()[d], "subject": names[s], "sentences": counts[d, s], "share": share})
 
     out = docs.mapInPandas(assign, f"k {kind}, subject string, sentences long, share double")
     return out.select(F.col("k").alias(doc_key), "subject", "sentences", "share")
