@@ -23,13 +23,12 @@ from pyspark.sql import functions as F
 from groundwork.llm.text import composed, undivided, visible
 from groundwork.runtime import durable
 
-#: Standard deviations above chance from which a term is anchored in a subject, and the least sentences or documents.
-ANCHOR_Z = 5.0
-LEAST = 4
+#: Standard deviations above chance from which a term is anchored in a subject, and the least sentences or documents: first
+#: in the labelled documents, which are few and only begin, then in each half step over all documents.
+ANCHOR_Z = (2.0, 3.0, 4.0)
+LEAST = (2, 3, 3)
 #: How many times its ratio by chance a term must have in a subject to be anchored there.
 LIFT = 2.0
-#: Half steps over all documents after the labels.
-ALTERNATIONS = 2
 #: Multiplicative updates of a sentence's weights.
 UPDATES = 8
 #: How many words a document's mixture counts for in a sentence.
@@ -107,7 +106,7 @@ class Weights:
         return place, part[:, :k], by_sentence
 
 
-def _anchored(counted: pd.DataFrame, prior: np.ndarray, subjects: int) -> Weights:
+def _anchored(counted: pd.DataFrame, prior: np.ndarray, subjects: int, least_z: float, least: int) -> Weights:
     """Weights from counts: c0.. are the sentences that a term stands in, by the subject of the rest; d0.. the same by the rest
     of the document; n is all its sentences.
 
@@ -122,7 +121,7 @@ def _anchored(counted: pd.DataFrame, prior: np.ndarray, subjects: int) -> Weight
         ratio = c / expected
         shared = np.median(ratio[:, prior > 0], axis=1, keepdims=True)
         z = (c - expected * np.maximum(shared, 1)) / np.sqrt(expected * (1 - prior) + 1)
-        kept &= (z >= ANCHOR_Z) & (c >= LEAST) & (ratio >= LIFT * shared) & (ratio >= LIFT * 0.75)
+        kept &= (z >= least_z) & (c >= least) & (ratio >= LIFT * shared) & (ratio >= LIFT * 0.75)
     excess = np.where(kept, c - shared * expected, 0)
     some = excess.sum(axis=1) > 0
     # a term that is often without any other of a subject, unlike most anchored ones, has another use as well
@@ -140,20 +139,20 @@ def _sums(subjects: int) -> list:
     return [F.sum(name).alias(name) for name in names]
 
 
-def _collected(counts: DataFrame, prior: np.ndarray, subjects: int) -> pd.DataFrame:
+def _collected(counts: DataFrame, prior: np.ndarray, subjects: int, least_z: float, least: int) -> pd.DataFrame:
     """Of the summed counts those of terms that can be anchored: a bounded table, chosen by the cluster."""
     total = sum((F.col(f"d{i}") for i in range(1, subjects)), F.col("d0"))
     tests = []
     for i, p in enumerate(prior.tolist()):
         z = (F.col(f"d{i}") - F.col("t") * p) / F.sqrt(F.col("t") * p * (1 - p) + 1)
-        tests.append(F.when((F.col(f"d{i}") >= LEAST) & (F.col(f"c{i}") >= LEAST), z).otherwise(0.0))
+        tests.append(F.when((F.col(f"d{i}") >= least) & (F.col(f"c{i}") >= least), z).otherwise(0.0))
     best = F.greatest(*tests) if len(tests) > 1 else tests[0]
-    kept = counts.withColumn("t", total).where("t > 0").withColumn("z", best).where(F.col("z") >= ANCHOR_Z)
+    kept = counts.withColumn("t", total).where("t > 0").withColumn("z", best).where(F.col("z") >= least_z)
     return kept.orderBy(F.desc("z"), "term").limit(MOST_TERMS).toPandas()
 
 
 def subject_shares(
-    documents: DataFrame, doc_key: str, text: str, subjects: list[str], labels: DataFrame, label_key: str, label: str, alternations: int = ALTERNATIONS
+    documents: DataFrame, doc_key: str, text: str, subjects: list[str], labels: DataFrame, label_key: str, label: str
 ) -> DataFrame:
     """(doc_key, subject, sentences, share): of each document the sentences on each subject, and their share of those on any.
 
@@ -188,18 +187,18 @@ def subject_shares(
         sums["n"] = np.bincount(codes, each, minlength=len(unique))
         return pd.DataFrame({"term": np.asarray(unique, dtype=object)} | sums)
 
-    def counted(by: DataFrame) -> Weights | None:
+    def counted(by: DataFrame, least_z: float, least: int) -> Weights | None:
         total = by.where("term = ''").agg(*_sums(k)).first()
         prior = np.asarray([total[f"c{i}"] or 0.0 for i in range(k)])
         if not prior.sum():
             return None
         prior = prior / prior.sum()
-        return _anchored(_collected(by.where("term != ''"), prior, k), prior, k)
+        return _anchored(_collected(by.where("term != ''"), prior, k, least_z, least), prior, k, least_z, least)
 
-    weights = counted(durable(labelled.mapInPandas(seeds, f"term string, {columns}").groupBy("term").agg(*_sums(k))))
+    weights = counted(durable(labelled.mapInPandas(seeds, f"term string, {columns}").groupBy("term").agg(*_sums(k))), ANCHOR_Z[0], LEAST[0])
     if weights is None:
         return spark.createDataFrame([], f"{doc_key} {kind}, subject string, sentences long, share double")
-    for _ in range(alternations):
+    for least_z, least in zip(ANCHOR_Z[1:], LEAST[1:], strict=True):
         shared = spark.sparkContext.broadcast(weights.parts())
 
         def recount(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -225,7 +224,7 @@ def subject_shares(
                 once = np.ones(len(terms) + 1)
                 yield partial([*terms, ""], np.concatenate([in_rest, every]), np.concatenate([others, every]), once)
 
-        again = counted(durable(docs.mapInPandas(recount, f"term string, {columns}").groupBy("term").agg(*_sums(k))))
+        again = counted(durable(docs.mapInPandas(recount, f"term string, {columns}").groupBy("term").agg(*_sums(k))), least_z, least)
         weights = again or weights
     shared = spark.sparkContext.broadcast(weights.parts())
     names = np.asarray(subjects, dtype=object)
