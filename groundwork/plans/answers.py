@@ -71,7 +71,7 @@ def plain_style(text: str) -> str:
 def loose_json(text: str):  # noqa: ANN201
     """The JSON value in a reply: a fenced block first, else the whole, else the first balanced part; None if there is none."""
     fenced = re.search(r"```(?:json)?\s*(.*?)```", text, re.S)
-    for candidate in [fenced.group(1)] * bool(fenced) + [text]:
+    for candidate in ([fenced.group(1)] if fenced else []) + [text]:
         try:
             return json.loads(candidate)
         except ValueError:

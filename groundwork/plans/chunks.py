@@ -69,6 +69,9 @@ def chunked(df: DataFrame, key: str, text: str, page: str | None = None, size: i
     shuffled. Null, empty and short texts have no chunk.
     """
     from groundwork.functions.text import pages as paginate
+    from groundwork.runtime import bounded_batches
+
+    bounded_batches(df.sparkSession)
 
     kind = df.schema[key].dataType.simpleString()
     pages = f"array(named_struct('page', {page}, 'label', cast(null as string), 'text', {text}))" if page else paginate(text)

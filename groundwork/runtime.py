@@ -30,6 +30,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
+    """Let no Arrow batch that goes to Python be larger than limit bytes, however long its rows are (one row at least)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(1 << 62)).rstrip("b") or 0) > limit:
+        spark.conf.set(name, str(limit))
+
+
 def measured_bytes(df: DataFrame, *columns: str) -> int:
     """Rows of df and the length of its given string or array columns as one number of bytes, by one aggregation."""
     width = 16 * max(1, len(df.columns))

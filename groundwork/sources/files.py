@@ -23,10 +23,10 @@ def collection(spark: SparkSession, path: str, schema: StructType, key: str = "i
     return placed.groupBy(key).agg(F.max_by(F.struct(*others), "_at").alias("_r")).select(key, "_r.*")
 
 
-def damaged(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    with_bad = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
-    rows = spark.read.schema(with_bad).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return rows.select("_corrupt_record", F.input_file_name().alias("file")).where("_corrupt_record is not null")
+def damaged(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a collection that don't read as JSON, with their files."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("file"))
+    return lines.where("trim(line) != '' and try_parse_json(line) is null")
 
 
 def gold(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -82,7 +82,7 @@ def event_frames(df: DataFrame, key: str, text: str) -> DataFrame:
     return parsed.select(
         key,
         F.expr("seq + 1").alias("seq"),
-        F.expr(f"coalesce(element_at({field('event')}, -1), 'message')").alias("event"),
+        F.expr(f"coalesce(try_element_at({field('event')}, -1), 'message')").alias("event"),
         F.expr(f"array_join({field('data')}, '\\n')").alias("data"),
     )
 
