@@ -33,7 +33,8 @@ def durable(df: DataFrame) -> DataFrame:
 def bounded_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
     """Let no Arrow batch that goes to Python be larger than limit bytes, however long its rows are (one row at least)."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name, str(1 << 62)).rstrip("b") or 0) > limit:
+    held = spark.conf.get(name, None)
+    if held is None or not 0 < int(held.rstrip("b")) <= limit:
         spark.conf.set(name, str(limit))
 
 
