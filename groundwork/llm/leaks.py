@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.llm.text import readings
-from groundwork.runtime import BROADCAST_BYTES, broadcast_if_small, durable
+from groundwork.runtime import BROADCAST_BYTES, bounded_batches, broadcast_if_small, durable
 
 #: Words in a row that make a leak, and words of a k-gram.
 SPAN = 12
@@ -50,6 +50,7 @@ def fingerprints(df: DataFrame, key: str, texts: list[str], span: int, gram: int
     """(key, h, around) of every kept k-gram of the given texts: its hash, and its words with as many on both sides as a
     span that holds it can reach; beyond the text's ends these are null. only: sorted hashes, of which to keep others out."""
     spark = df.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(only) if only is not None else None
     reach, kind = span - gram, df.schema[key].dataType.simpleString()
 

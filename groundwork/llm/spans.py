@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.llm.fmindex import FMIndex
-from groundwork.runtime import broadcast_if_small, durable
+from groundwork.runtime import bounded_batches, broadcast_if_small, durable
 
 SPAN = 80
 #: Characters of a shard, on average.
@@ -100,6 +100,7 @@ def shared_spans(texts: DataFrame, keys: list[str], text: str, span: int = SPAN,
     """
     if span < 4:
         raise ValueError("span must be at least 4")
+    bounded_batches(texts.sparkSession)
     rows = texts.select(*keys, F.col(text).cast("string").alias("_t")).where(F.length("_t") >= span)
     rows = durable(rows.withColumn("rid", F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys])).dropDuplicates(["rid"]))
     spans = durable(rows.select("rid", "_t").mapInArrow(lambda batches: _spans_of(batches, span), "rid long, a int, z int, h long"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.llm.text import composed, undivided, visible
-from groundwork.runtime import durable
+from groundwork.runtime import bounded_batches, durable
 
 #: Standard deviations above chance from which a term is anchored in a subject, and the least sentences or documents: first
 #: in the labelled documents, which are few and only begin, then in each half step over all documents.
@@ -40,6 +40,9 @@ SHARE = 1 / 3
 #: Anchored terms that a table of weights may hold; beyond, the most significant stay.
 MOST_TERMS = 500_000
 
+#: Characters that are taken apart at a time; their terms by subjects are what a worker holds.
+PORTION = 500_000
+
 _SENTENCE = regex.compile(r"(?<=[.!?…。！？])[\"”’»)\]]*\s+|\n[ \t]*\n")
 _TERM = re.compile(r"[^\W\d_]{2,}")
 
@@ -54,6 +57,17 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
+def _portions(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch in portions of about PORTION characters, one document at least."""
+    ends = batch["t"].str.len().cumsum().to_numpy()
+    start = 0
+    while start < len(batch):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PORTION, side="right")))
+        yield batch.iloc[start:stop].reset_index(drop=True)
+        start = stop
+
+
 def _flat(texts: pd.Series) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """terms, the sentence of each term, the document of each sentence, of a batch."""
     terms, sizes, document = [], [], []
@@ -162,6 +176,7 @@ def subject_shares(
     have rows each. Whole texts are read; columns beside the given ones don't matter.
     """
     spark, k = documents.sparkSession, len(subjects)
+    bounded_batches(spark)
     kind = documents.schema[doc_key].dataType.simpleString()
     columns = ", ".join(f"{letter}{i} double" for letter in "cd" for i in range(k)) + ", n double"
     docs = documents.select(F.col(doc_key).alias("k"), F.col(text).cast("string").alias("t")).where("t is not null")
@@ -170,7 +185,7 @@ def subject_shares(
     labelled = docs.join(named.groupBy("k").agg(F.collect_set("s").alias("s")), "k")
 
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (p for b in batches for p in _portions(b)):
             terms, rows = [], []
             for t, s in zip(batch["t"], batch["s"], strict=True):
                 own = {x for one in sentences(t) for x in one}
@@ -203,7 +218,7 @@ def subject_shares(
 
         def recount(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             h = Weights(*shared.value)
-            for batch in batches:
+            for batch in (p for b in batches for p in _portions(b)):
                 terms, sentence, document, sizes = _flat(batch["t"])
                 place, part, by_sentence = h.explain(terms, sentence, document, sizes)
                 if not len(terms):
@@ -231,7 +246,7 @@ def subject_shares(
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = Weights(*shared.value)
-        for batch in batches:
+        for batch in (p for b in batches for p in _portions(b)):
             terms, sentence, document, sizes = _flat(batch["t"])
             by_sentence = h.explain(terms, sentence, document, sizes)[2]
             on = np.flatnonzero(by_sentence.max(axis=1) >= ON_SUBJECT) if len(sizes) else np.zeros(0, np.int64)

@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundwork.runtime import bounded_batches
+
 #: Fixed value: the public splitting pattern of the 50k byte-level vocabularies, for which _certain is worked out.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Fragments that a Python worker remembers.
@@ -131,6 +133,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str, pattern:
     With a pattern other than PATTERN, whole texts are the fragments.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     with open(vocabulary, "rb") as f:
         blob = spark.sparkContext.broadcast(f.read())
     kind = df.schema[key].dataType
