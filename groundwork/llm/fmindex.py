@@ -74,7 +74,7 @@ class FMIndex:
             if step == half:
                 at_half = rank
             second = np.zeros(n, np.int64)
-            second[: n - step] = rank[step:] + 1
+            second[: max(0, n - step)] = rank[step:] + 1
             key = rank * (n + 2) + second
             order = np.argsort(key, kind="stable")
             sorted_key = key[order]
@@ -96,7 +96,7 @@ class FMIndex:
         """bool per row: its suffix differs from the row above within the half plus more first symbols."""
         n, order = len(rank), self.order
         further = np.full(n, -1, np.int64)
-        further[: n - more] = rank[more:]
+        further[: max(0, n - more)] = rank[more:]
         out = np.ones(n, bool)
         a, b = order[1:], order[:-1]
         out[1:] = (rank[a] != rank[b]) | (further[a] != further[b])

@@ -132,4 +132,41 @@ def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_calls, p5_found, p5_percentiles, p6_ids, p7_found, p8_found, p8_shares, p8_mixture)}
-SQL: dict[str, str] = {}
+
+
+def _latest(name: str, key: str) -> str:
+    return f"(select * from (select *, row_number() over (partition by {key} order by ingested_at desc) as rn_ from {name} where {key} is not null) where rn_ = 1)"
+
+
+def _sql_tool(name: str) -> str:
+    letters = f"lower(regexp_replace({name}, '[^\\pL]', '', 'g'))"
+    return "case " + " ".join(f"when contains({letters}, '{t.replace('_', '')}') then '{t}'" for t in TOOLS) + f" else {name} end"
+
+
+_CALLS = (
+    f"(select 'runs' as src_table, run_id as rec_id, step as place, name, ms from (select *, row_number() over (partition by run_id, step order by i) as k from (select run_id, i, c.step as step, {_sql_tool('c.name')} as name, c.ms as ms from (select run_id, unnest(range(1, len(tool_calls) + 1)) as i, unnest(tool_calls) as c from {_latest('runs', 'run_id')}))) where k = 1"
+    f" union all select 'quick_path', record_id::varchar, i, {_sql_tool('c.name')}, c.ms from (select record_id, unnest(range(1, len(tools) + 1)) as i, unnest(tools) as c from {_latest('quick_path', 'record_id')}))"
+)
+_COLLAPSED = (
+    "(select src_table, rec_id, min(place)::int as first_step, any_value(name) as tool, count(*)::int as calls, coalesce(sum(ms) filter (ms >= 0), 0)::bigint as total_ms from (select *, sum(new) over (partition by src_table, rec_id order by place) as g"
+    f" from (select *, case when name = lag(name) over (partition by src_table, rec_id order by place) then 0 else 1 end as new from {_CALLS})) group by src_table, rec_id, g)"
+)
+_VALUES = (
+    f"q as (select lower(trim(route)) as route, strftime(ran_at, '%Y-%m-%d') as run_day, latency_ms::double as a, ttft_ms::double as b, cost_usd as c from {_latest('quick_path', 'record_id')} where route is not null),"
+    " v as (select * from (select route, run_day, 'latency_ms' as metric, a as v from q union all select route, run_day, 'ttft_ms', b from q union all select route, run_day, 'cost_usd', c from q) where v is not null and not isnan(v) and not isinf(v) and v >= 0)"
+)
+_TEXTS = f"(select 'grounding_rows' as src_table, rec_id, snippet as t from {_latest('grounding_rows', 'rec_id')} union all select 'miss_shapes', rec_id, sentence from {_latest('miss_shapes', 'rec_id')})"
+_SPANS = (
+    f"t as (select * from {_TEXTS} where length(t) >= 80), w as (select src_table, rec_id, i, substr(t, i + 1, 80) as x from (select *, unnest(range(0, length(t) - 79)) as i from t)),"
+    " s as (select src_table, rec_id, i from w join (select x from w group by 1 having min((src_table, rec_id)) <> max((src_table, rec_id))) using (x)),"
+    " g as (select *, sum(case when i <= p + 80 then 0 else 1 end) over (partition by src_table, rec_id order by i) as k from (select *, lag(i) over (partition by src_table, rec_id order by i) as p from s)),"
+    " f as (select src_table, rec_id, min(i)::int as span_start, (max(i) + 80 - min(i))::int as span_len from g group by src_table, rec_id, k)"
+)
+SQL = {
+    "p1_found": f"with {_SPANS} select * from f",
+    "p1_shared": f"with {_SPANS} select src_table, rec_id, length(coalesce(t, '')) as characters, coalesce(shared, 0)::bigint as shared, coalesce(longest, 0) as longest from {_TEXTS} left join (select src_table, rec_id, sum(span_len) as shared, max(span_len) as longest from f group by 1, 2) using (src_table, rec_id)",
+    "p2_found": f"select src_table, rec_id, first_step from {_COLLAPSED} where calls > 1",
+    "p2_calls": f"select * from {_COLLAPSED}",
+    "p5_found": f"with {_VALUES} select route, run_day, metric from v where run_day is not null group by 1, 2, 3 having count(*) >= 100 and quantile_disc(v, 0.95) > 6 * quantile_disc(v, 0.5)",
+    "p5_percentiles": f"with {_VALUES}, e as (select route, unnest([run_day, 'all']) as run_day, metric, v from v), g as (select route, run_day, metric, count(*) as n, quantile_disc(v, [0.5, 0.9, 0.95, 0.99]) as q from e where run_day is not null group by 1, 2, 3) select route, run_day, metric, unnest([50.0, 90.0, 95.0, 99.0])::double as percentile, unnest(q) as value, n from g",
+}

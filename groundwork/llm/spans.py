@@ -81,12 +81,14 @@ def _shard(group: pd.DataFrame, span: int) -> pd.DataFrame:
     high = np.maximum.reduceat(group["high"].to_numpy()[owner], edges)
     marked = (low < high)[np.searchsorted(edges, first)]
     text, start = index.matching(marked)
+    keys = group["key"].to_numpy()
+    if not len(text):
+        return pd.DataFrame({"key": keys[:0], "s": np.zeros(0, np.int32), "e": np.zeros(0, np.int32)})
     order = np.lexsort((start, text))
     text, start = text[order], start[order]
-    new = np.concatenate([[True], (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)]) if len(text) else np.zeros(0, bool)
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)])
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(text)) - 1
-    keys = group["key"].to_numpy()
     return pd.DataFrame({"key": keys[text[at]], "s": start[at].astype(np.int32), "e": (start[last] + span).astype(np.int32)})
 
 

@@ -1,0 +1,19 @@
+"""The queries run, and those with SQL give what DuckDB gives."""
+
+import pytest
+from oracle import check, connect
+
+from groundwork.llm.queries import QUERIES, SQL
+
+
+@pytest.fixture(scope="module")
+def con(data):
+    return connect(data)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, con, data, name):
+    if name in SQL:
+        check(spark, con, QUERIES[name], SQL[name], data)
+    else:
+        assert QUERIES[name](spark, data).count() >= 0
