@@ -28,15 +28,13 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: list[float],
     that are null, NaN, infinite or negative are left out, and a group without others has no row. A null key is a group.
     Repeated rows count each; an empty table gives an empty one; columns of df beside keys and value don't matter.
     """
-    spark = df.sparkSession
     names = [f"g{i}" for i in range(len(keys))]
     v = F.col(value).cast("double")
     rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], (v + F.lit(0.0)).alias("v"))
     rows = durable(rows.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.col("v") >= 0) & (F.col("v") < float("inf"))))
     wide = rows.groupBy(*names).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    ps = spark.createDataFrame([(float(p),) for p in wanted], "p double")
     rank = F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("n") / 100 - 1e-9)).cast("long")
-    targets = durable(wide.crossJoin(F.broadcast(ps)).withColumn("k", rank))
+    targets = durable(wide.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in wanted]))).withColumn("k", rank))
     done = targets.where("lo = hi")
     for _ in range(MOST_PASSES):
         targets = targets.where("lo < hi")
