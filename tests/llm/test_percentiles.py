@@ -13,7 +13,7 @@ def exact(values, p):
     return values[max(1, math.ceil(p * len(values) / 100 - 1e-9)) - 1]
 
 
-@pytest.mark.parametrize("midpoints", [1, 3, 127])
+@pytest.mark.parametrize("midpoints", [7, 127])
 def test_exact(spark, midpoints):
     rng = random.Random(2)
     groups = {"even": [rng.random() for _ in range(501)], "heavy": [rng.paretovariate(0.5) for _ in range(400)], "ties": [3.0] * 50 + [7.0] * 50, "one": [5e-324], "wide": [0.0, 1e308, 1.0, 1e-300], None: [2.0, 1.0]}
