@@ -19,13 +19,22 @@ def content_words(text: str, stop: str = L.STOP_EVIDENCE, least: int = 2) -> str
 
 def coverage(passage: str, question: str) -> str:
     """The share of the question's content words that the passage has; 0 for a question without any."""
-    asked, there = content_words(question, L.STOP_ORDER), content_words(passage, L.STOP_ORDER)
-    return f"case when size({asked}) = 0 then 0D else size(array_intersect({asked}, {there})) / size({asked}) end"
+    return coverage_of(tokens(passage), tokens(question))
+
+
+def coverage_of(passage_tokens: str, question_tokens: str) -> str:
+    """coverage, from columns of tokens, which a plan with several features makes once."""
+    asked = f"array_except({question_tokens}, {L.spark_words(L.STOP_ORDER)})"
+    return f"transform(array({asked}), q -> case when size(q) = 0 then 0D else size(array_intersect(q, {passage_tokens})) / size(q) end)[0]"
 
 
 def prosiness(passage: str) -> str:
     """How much a passage reads like sentences: function words, and ends of sentences per hundred words."""
-    t, stop = tokens(passage), L.spark_words(L.STOP_ORDER)
+    return prosiness_of(passage, tokens(passage))
+
+
+def prosiness_of(passage: str, t: str) -> str:
+    stop = L.spark_words(L.STOP_ORDER)
     ends = f"regexp_count({passage}, {q('[.!?](?:' + L.SPACE + '|$)')})"
     return (
         f"case when size({t}) < 4 then 0.5D else 0.7D * least(1D, size(filter({t}, x -> array_contains({stop}, x))) / size({t}) / 0.3D)"
@@ -40,8 +49,8 @@ def _trim(text: str) -> str:
 def fragment_ratio(passage: str) -> str:
     """The share of lines that are short and don't end a sentence."""
     lines = f"filter(transform(split({passage}, '\\n+'), x -> {_trim('x')}), x -> length(x) > 1)"
-    short = f"filter({lines}, x -> length(x) < 90 and not x rlike {q('[.!?][' + chr(34) + chr(39) + ')' + chr(92) + ']]*$')})"
-    return f"case when size({lines}) = 0 then 0D else size({short}) / size({lines}) end"
+    short = f"filter(ls, x -> length(x) < 90 and not x rlike {q('[.!?][' + chr(34) + chr(39) + ')' + chr(92) + ']]*$')})"
+    return f"transform(array({lines}), ls -> case when size(ls) = 0 then 0D else size({short}) / size(ls) end)[0]"
 
 
 def structured(passage: str) -> str:

@@ -54,3 +54,7 @@ def forbidden(url: str) -> str:
     v6 = f"{h} rlike '^(::1$|f[cd][0-9a-f]{{2}}:|fe[89ab][0-9a-f]:)'"
     named = f"array_contains({L.spark_words(BLOCKED_HOSTS)}, {h}) or {h} like '%.localhost' or {h} like '%.local' or {h} like '%.internal'"
     return f"(not coalesce({url} rlike '(?i)^https?://', false) or {named} or ({v4} and {private}) or {v6})"
+
+
+def path(url: str) -> str:
+    return f"coalesce(nullif(regexp_replace({url}, '^[A-Za-z]+://[^/]*|[?#].*$', ''), ''), '/')"

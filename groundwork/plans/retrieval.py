@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as T
-from groundwork.runtime import broadcast_if_small
+from groundwork.runtime import broadcast_if_small, durable
 
 K1, B = 1.5, 0.75
 RRF = 60
@@ -23,7 +23,11 @@ def rounded(x: Column) -> Column:
 
 def postings(corpus: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf, dl): how often a term stands in a row, and the row's length in tokens."""
-    t = corpus.select(key, F.expr(T.tokens(text)).alias("t")).select(key, F.explode("t").alias("term"), F.size("t").alias("dl"))
+    return _posted(corpus.select(key, F.expr(T.tokens(text)).alias("t")), key)
+
+
+def _posted(tokenised: DataFrame, key: str) -> DataFrame:
+    t = tokenised.select(key, F.explode("t").alias("term"), F.size("t").alias("dl"))
     return t.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
 
 
@@ -35,11 +39,13 @@ def terms(questions: DataFrame, question_key: str, text: str) -> DataFrame:
 
 def bm25(corpus: DataFrame, key: str, text: str, questions: DataFrame, question_key: str, question: str) -> DataFrame:
     """(question_key, key, score) of the rows that share a term with a question, by counts over the whole corpus."""
-    posted = postings(corpus, key, text)
+    tokenised = corpus.select(key, F.expr(T.tokens(text)).alias("t"))
     asked = terms(questions, question_key, question)
     wanted = broadcast_if_small(asked.select("term").distinct(), "term")
-    held = posted.join(wanted, "term", "left_semi")
-    size = corpus.select(F.size(F.expr(T.tokens(text))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    # terms that nobody asked for are dropped before they're counted; what is left is used twice
+    each = tokenised.select(key, F.explode("t").alias("term"), F.size("t").alias("dl")).join(wanted, "term", "left_semi")
+    held = durable(each.groupBy(key, "term", "dl").agg(F.count("*").alias("tf")))
+    size = tokenised.select(F.size("t").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     weights = asked.join(df, "term").crossJoin(F.broadcast(size))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -10,9 +10,10 @@ from groundwork.functions import text as T
 from groundwork.functions import urls as U
 from groundwork.functions.literals import ansi_text as a
 from groundwork.functions.literals import spark_text as q
+from groundwork.operators.paths import longest_prefix
 from groundwork.plans import evidence as E
 from groundwork.queries.retrieval import _pt
-from groundwork.queries.text import _words, latest
+from groundwork.queries.text import _absent, _words, latest
 from groundwork.sources.tables import records, table
 
 
@@ -120,11 +121,28 @@ def retrieval_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("run_id", F.expr(E.outcome()).alias("outcome"))
 
 
+def robots_longest(spark: SparkSession, folder: str) -> DataFrame:
+    """Cited pages under rules taken from their sites: even folders are closed, one page of each in turn open."""
+    g = _grounding(spark, folder).where("url is not null").select("rec_id", F.expr(U.host("url")).alias("host"), F.expr(U.path("url")).alias("path"))
+    folders = g.select("host", F.expr("regexp_extract(path, '^/[^/]*', 0)").alias("prefix")).distinct()
+    closed = folders.where("length(prefix) % 2 = 0").select("host", F.lit(1).alias("nth"), "prefix", F.lit(False).alias("allow"))
+    opened = g.where("rec_id % 2 = 0").select("host", F.lit(2).alias("nth"), F.col("path").alias("prefix"), F.lit(True).alias("allow")).distinct()
+    return longest_prefix(g, "rec_id", F.col("host"), F.col("path"), closed.unionByName(opened))
+
+
+def refusals(spark: SparkSession, folder: str) -> DataFrame:
+    """Uncited sentences by variant: those that refuse or speak of missing evidence, and runs with nothing else."""
+    m = records(table(spark, folder, "miss_shapes"), "rec_id", "run_id", "sentence", "variant").where("sentence is not null")
+    m = m.withColumn("refuses", F.expr(T.refusal("sentence")))
+    runs = m.groupBy("variant", "run_id").agg(F.count("*").alias("n"), F.count_if("refuses").alias("k"))
+    return runs.groupBy("variant").agg(F.count("*").alias("runs"), F.sum("k").alias("refusing"), F.count_if(F.expr("k = n")).alias("full_refusals"), F.count_if(F.expr("k > 0 and k < n")).alias("partial"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         answer_validation, groundedness_summary, answer_citations, claim_support, pooled_and_mean_support, snippet_provenance, provenance_summary, question_coverage,
-        retrieval_outcomes,
+        retrieval_outcomes, robots_longest, refusals,
     )
 }
 
@@ -157,4 +175,8 @@ SQL = {
     f" count(*) filter (coalesce(longest_window, 0) >= 10 and source_position <= 5 and coalesce(haystack_chars, 0) >= 300) as usable, count(*) filter (haystack_chars is null) as cancelled, count(longest_window) as judged from {G} where request_id is not null group by 1), m as (select run_id, bool_or(best_support >= 0.6) as ans, count(best_support) as cited, count(*) filter (best_support >= 0.5) as sup from {M} group by 1)"
     " select run_id, case when judged = 0 then 'pending_review' when relevant = 0 then 'query_miss' when attempted = 0 and best > deepest then 'ranking_miss' when attempted = 0 then 'selection_miss' when usable = 0 then 'fetch_failure' when ans is null then 'pending_review' when not ans then 'passage_miss'"
     " when cited > 1 and sup <= 1 then 'synthesis_omission' when cited = 0 or sup < cited then 'citation_failure' else 'successful_retrieval' end as outcome from g left join m using (run_id)",
+    "robots_longest": f"with g as (select rec_id, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) as host, coalesce(nullif(regexp_replace(url, '^[A-Za-z]+://[^/]*|[?#].*$', '', 'g'), ''), '/') as path from {G} where url is not null),"
+    " r as (select distinct host, 1 as nth, regexp_extract(path, '^/[^/]*') as prefix, false as allow from g where length(regexp_extract(path, '^/[^/]*')) % 2 = 0 union all select distinct host, 2, path, true from g where rec_id % 2 = 0)"
+    " select rec_id, coalesce((select arg_max(allow, (length(prefix), -nth)) from r where r.host = g.host and starts_with(g.path, r.prefix) and prefix <> ''), true) as allowed from g",
+    "refusals": f"select variant, count(*) as runs, sum(k)::bigint as refusing, count(*) filter (k = n) as full_refusals, count(*) filter (k > 0 and k < n) as partial from (select variant, run_id, count(*) as n, count(*) filter ({_absent('sentence')} or {' or '.join(f'regexp_matches(sentence, {a(p)})' for p in L.REFUSAL)}) as k from {M} where sentence is not null group by 1, 2) group by 1",
 }

@@ -56,10 +56,11 @@ def text_search_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def passage_features(spark: SparkSession, folder: str) -> DataFrame:
-    f = _asked(spark, folder).select(
+    asked = _asked(spark, folder).withColumn("t", F.expr(T.tokens("text"))).withColumn("q", F.expr(T.tokens("question")))
+    f = asked.select(
         "doc_id",
-        F.expr(T.coverage("text", "question")).alias("query_coverage"),
-        F.expr(T.prosiness("text")).alias("prosiness"),
+        F.expr(T.coverage_of("t", "q")).alias("query_coverage"),
+        F.expr(T.prosiness_of("text", "t")).alias("prosiness"),
         F.expr(T.fragment_ratio("text")).alias("fragment_ratio"),
         F.expr(T.structured("text")).alias("structured"),
         F.length("text").alias("chars"),
