@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from groundwork.llm.text import composed, undivided, visible
@@ -27,7 +27,7 @@ from groundwork.runtime import bounded_batches, durable
 #: in the labelled documents, which are few and only begin, then in each half step over all documents.
 ANCHOR_Z = (2.0, 3.0, 4.0)
 LEAST = (2, 3, 3)
-#: How many times its ratio by chance a term must have in a subject to be anchored there.
+#: How many times its rate by chance a term must have in a subject to be anchored there, and 3/4 as many times its rate outside.
 LIFT = 2.0
 #: Multiplicative updates of a sentence's weights.
 UPDATES = 8
@@ -120,29 +120,62 @@ class Weights:
         return place, part[:, :k], by_sentence
 
 
-def _anchored(counted: pd.DataFrame, prior: np.ndarray, subjects: int, least_z: float, least: int) -> Weights:
+def _priors(total: Row, subjects: int) -> dict[str, np.ndarray] | None:
+    """By letter the share of each subject in the counts. A lone subject has no other to be told apart from, so what is on
+    none comes last, as one more. None without any count."""
+    every = {letter: np.asarray([total[f"{letter}{i}"] or 0.0 for i in range(subjects)]) for letter in "cd"}
+    if not every["c"].sum():
+        return None
+    if (every["c"] > 0).sum() == 1:
+        every = {letter: np.append(v, max(total["n"] - v.sum(), 0.0)) for letter, v in every.items()}
+        return {letter: v / max(v.sum(), 1e-12) for letter, v in every.items()}
+    return dict.fromkeys("cd", every["c"] / every["c"].sum())
+
+
+def _elsewhere(ratio: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Of every subject the (upper) median of the ratios that the others have."""
+    shared = np.zeros_like(ratio)
+    for i in range(ratio.shape[1]):
+        others = [j for j in np.flatnonzero(prior > 0) if j != i]
+        if others:
+            shared[:, i] = np.sort(ratio[:, others], axis=1)[:, len(others) // 2]
+    return shared
+
+
+def _anchored(counted: pd.DataFrame, priors: dict[str, np.ndarray], subjects: int, least_z: float, least: int, lift: float) -> Weights:
     """Weights from counts: c0.. are the sentences that a term stands in, by the subject of the rest; d0.. the same by the rest
     of the document; n is all its sentences.
 
-    A term that stands anywhere has about the same ratio of counts to expected counts in every subject. The median of these
-    is what it has by chance; a subject anchors it by what goes beyond, if that is significant and a multiple.
+    A term that stands anywhere has about the same ratio of counts to expected counts in every subject. The median of the
+    others' is what it has by chance; a subject anchors it by what goes beyond, if that is significant and if its rate in
+    the subject is a multiple of that by chance and of its rate outside. Both rates are by the size of where they are
+    counted, so that the multiples don't depend on how large the subject is.
     """
     kept = np.ones((len(counted), subjects), bool)
+    every = np.maximum(counted["n"].to_numpy(float), 1)
     for letter in "dc":
         c = counted[[f"{letter}{i}" for i in range(subjects)]].to_numpy(float)
+        told, prior = c.sum(axis=1), priors[letter]
+        if len(prior) > subjects:
+            c = np.column_stack([c, np.maximum(counted["n"].to_numpy(float) - told, 0)])
         total = c.sum(axis=1, keepdims=True)
         expected = np.maximum(total * prior, 1e-12)
         ratio = c / expected
-        shared = np.median(ratio[:, prior > 0], axis=1, keepdims=True)
+        shared = _elsewhere(ratio, prior)
+        outside = (total - c) / np.maximum(total * (1 - prior), 1e-12)
         z = (c - expected * np.maximum(shared, 1)) / np.sqrt(expected * (1 - prior) + 1)
-        kept &= (z >= least_z) & (c >= least) & (ratio >= LIFT * shared) & (ratio >= LIFT * 0.75)
-    excess = np.where(kept, c - shared * expected, 0)
+        passed = (z >= least_z) & (c >= least) & (ratio >= lift * shared) & (ratio >= lift * 0.75 * outside)
+        kept &= passed[:, :subjects]
+    excess = np.where(kept, (c - shared * expected)[:, :subjects], 0)
     some = excess.sum(axis=1) > 0
-    # a term that is often without any other of a subject, unlike most anchored ones, has another use as well
-    told, every = total[:, 0], np.maximum(counted["n"].to_numpy(float), 1)
-    clear = some & (shared[:, 0] < 0.1)
-    usual = float(np.median((told / every)[clear])) if clear.any() else 1.0
-    other = shared[:, 0] * told + np.maximum(every - told / max(usual, 1e-6), 0)
+    best = excess.argmax(axis=1)
+    chance = shared[np.arange(len(c)), best]
+    # a term that is often without any other of its subject, unlike most anchored ones of it, has another use as well
+    usual = np.ones(subjects)
+    for i in range(subjects):
+        clear = some & (chance < 0.1) & (best == i)
+        usual[i] = np.median((told / every)[clear]) if clear.any() else 1.0
+    other = chance * told + np.maximum(every - told / np.maximum(usual[best], 1e-6), 0)
     h = np.concatenate([excess, other[:, None]], axis=1)[some]
     scale = np.concatenate([h[:, :subjects].sum(axis=0), [max(every[some].sum(), 1.0)]])
     return Weights(subjects, counted["term"][some].tolist(), h / np.maximum(scale, 1e-12))
@@ -155,9 +188,9 @@ def _sums(subjects: int) -> list:
 
 def _collected(counts: DataFrame, prior: np.ndarray, subjects: int, least_z: float, least: int) -> pd.DataFrame:
     """Of the summed counts those of terms that can be anchored: a bounded table, chosen by the cluster."""
-    total = sum((F.col(f"d{i}") for i in range(1, subjects)), F.col("d0"))
+    total = F.col("n") if len(prior) > subjects else sum((F.col(f"d{i}") for i in range(1, subjects)), F.col("d0"))
     tests = []
-    for i, p in enumerate(prior.tolist()):
+    for i, p in enumerate(prior[:subjects].tolist()):
         z = (F.col(f"d{i}") - F.col("t") * p) / F.sqrt(F.col("t") * p * (1 - p) + 1)
         tests.append(F.when((F.col(f"d{i}") >= least) & (F.col(f"c{i}") >= least), z).otherwise(0.0))
     best = F.greatest(*tests) if len(tests) > 1 else tests[0]
@@ -172,7 +205,8 @@ def subject_shares(
 
     subjects are the components' names, bounded by what a reader may tell apart. A label counts by its trimmed lower-case
     form; labels of other names, null labels, and labels of unknown or textless documents are passed over, and one given
-    twice counts once. Null, empty and subjectless texts have no row, and with no usable label none has. Repeated documents
+    twice counts once. If only one subject has labels, it's told apart from the documents without any, so some must be on none.
+    Null, empty and subjectless texts have no row, and with no usable label none has. Repeated documents
     have rows each. Whole texts are read; columns beside the given ones don't matter.
     """
     spark, k = documents.sparkSession, len(subjects)
@@ -182,7 +216,7 @@ def subject_shares(
     docs = documents.select(F.col(doc_key).alias("k"), F.col(text).cast("string").alias("t")).where("t is not null")
     position = F.array_position(F.array(*[F.lit(s.strip().lower()) for s in subjects]), F.lower(F.trim(F.col(label)))) - 1
     named = labels.select(F.col(label_key).alias("k"), position.cast("int").alias("s")).where("k is not null and s >= 0").distinct()
-    labelled = docs.join(named.groupBy("k").agg(F.collect_set("s").alias("s")), "k")
+    given = named.groupBy("k").agg(F.collect_set("s").alias("s"))
 
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (p for b in batches for p in _portions(b)):
@@ -190,11 +224,11 @@ def subject_shares(
             for t, s in zip(batch["t"], batch["s"], strict=True):
                 own = {x for one in sentences(t) for x in one}
                 if own:
-                    one = np.bincount(np.asarray(s), minlength=k) / len(s)
+                    one = np.bincount(np.asarray(s), minlength=k) / len(s) if s is not None else np.zeros(k)
                     terms += [*own, ""]  # the empty term counts documents
                     rows += [one] * (len(own) + 1)
             values = np.asarray(rows).reshape(-1, k)
-            yield partial(terms, values, values, values.sum(axis=1))
+            yield partial(terms, values, values, np.ones(len(terms)))
 
     def partial(terms: list[str], by_sentence: np.ndarray, by_document: np.ndarray, each: np.ndarray) -> pd.DataFrame:
         codes, unique = pd.factorize(np.asarray(terms, dtype=object))
@@ -202,17 +236,23 @@ def subject_shares(
         sums["n"] = np.bincount(codes, each, minlength=len(unique))
         return pd.DataFrame({"term": np.asarray(unique, dtype=object)} | sums)
 
-    def counted(by: DataFrame, least_z: float, least: int) -> Weights | None:
-        total = by.where("term = ''").agg(*_sums(k)).first()
-        prior = np.asarray([total[f"c{i}"] or 0.0 for i in range(k)])
-        if not prior.sum():
-            return None
-        prior = prior / prior.sum()
-        return _anchored(_collected(by.where("term != ''"), prior, k, least_z, least), prior, k, least_z, least)
-
-    weights = counted(durable(labelled.mapInPandas(seeds, f"term string, {columns}").groupBy("term").agg(*_sums(k))), ANCHOR_Z[0], LEAST[0])
-    if weights is None:
+    def summed(of: DataFrame, run) -> tuple[DataFrame, dict[str, np.ndarray] | None]:
+        by = durable(of.mapInPandas(run, f"term string, {columns}").groupBy("term").agg(*_sums(k)))
+        return by.where("term != ''"), _priors(by.where("term = ''").agg(*_sums(k)).first(), k)
+
+    def anchored(by: DataFrame, priors: dict[str, np.ndarray], least_z: float, least: int, lift: float = LIFT) -> Weights:
+        return _anchored(_collected(by, priors["d"], k, least_z, least), priors, k, least_z, least, lift)
+
+    by, priors = summed(docs.join(given, "k"), seeds)
+    if priors is not None and len(priors["c"]) > k:
+        # a lone subject begins with what its labelled documents have beyond all the others; these may be on it as well, so by any multiple
+        by, priors = summed(docs.join(given, "k", "left"), seeds)
+        lift = 0.0
+    else:
+        lift = LIFT
+    if priors is None:
         return spark.createDataFrame([], f"{doc_key} {kind}, subject string, sentences long, share double")
+    weights = anchored(by, priors, ANCHOR_Z[0], LEAST[0], lift)
     for least_z, least in zip(ANCHOR_Z[1:], LEAST[1:], strict=True):
         shared = spark.sparkContext.broadcast(weights.parts())
 
@@ -233,14 +273,14 @@ def subject_shares(
                 is_on[np.flatnonzero(on), by_sentence[on].argmax(axis=1)] = 1
                 others = np.zeros((int(document.max()) + 1, k))
                 np.add.at(others, document, is_on)
-                others = (others[document] - is_on)[sentence]
+                others = others[document] - is_on
                 others /= np.maximum(others.sum(axis=1, keepdims=True), 1)
                 every = is_on.sum(axis=0)[None, :]
-                once = np.ones(len(terms) + 1)
-                yield partial([*terms, ""], np.concatenate([in_rest, every]), np.concatenate([others, every]), once)
+                each = np.append(np.ones(len(terms)), len(sizes))
+                yield partial([*terms, ""], np.concatenate([in_rest, every]), np.concatenate([others[sentence], others.sum(axis=0)[None, :]]), each)
 
-        again = counted(durable(docs.mapInPandas(recount, f"term string, {columns}").groupBy("term").agg(*_sums(k))), least_z, least)
-        weights = again or weights
+        by, priors = summed(docs, recount)
+        weights = anchored(by, priors, least_z, least) if priors is not None else weights
     shared = spark.sparkContext.broadcast(weights.parts())
     names = np.asarray(subjects, dtype=object)
 

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from groundwork.llm.subjects import found_subjects, sentences, subject_shares
 
 SUBJECTS = {"music": "violin piano sonata chorus rhythm melody organ concert".split(), "farming": "tractor barley harvest plough sheep orchard hay silo".split(), "sailing": "anchor rudder mast harbour jib keel tide buoy".split()}
@@ -52,3 +54,37 @@ def test_without_labels_or_documents(spark):
 
 def test_sentences():
     assert [" ".join(s) for s in sentences("One two. Three <b>four</b> [1]. Five-\nsix\n\nSeven")] == ["one two", "four three", "fivesix", "seven"]
+
+
+def sized(names, weights, n, rng, none=0.2):
+    """Documents on one subject each, drawn by weight, or on none."""
+    docs, truth = [], {}
+    for d in range(n):
+        topic = None if rng.random() < none else rng.choices(names, weights)[0]
+        lines = [rng.choice(PLAIN) for _ in range(3)]
+        for _ in range(4 if topic else 0):
+            a, b = rng.sample(SUBJECTS[topic], 2)
+            lines.append(f"The {rng.choice(['quiet', 'broad', 'early'])} {a} of {rng.choice('ABCDEFGHIJ')}name{rng.randint(0, 400)} follows each {b} for {rng.randint(1, 99)} days.")
+        rng.shuffle(lines)
+        docs.append((d, " ".join(lines)))
+        truth[d] = {topic} - {None}
+    return docs, truth
+
+
+def accuracy(spark, docs, truth, labels, names):
+    shares = subject_shares(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", names, spark.createDataFrame(labels, "doc_id long, subject string"), "doc_id", "subject")
+    got = {}
+    for r in found_subjects(shares).collect():
+        got.setdefault(r.doc_id, set()).add(r.subject)
+    return sum(got.get(d, set()) == t for d, t in truth.items()) / len(truth)
+
+
+@pytest.mark.parametrize(
+    "names, weights, none",
+    [(["farming", "music", "sailing"], [8, 1, 1], 0.2), (["farming", "music"], [1, 1], 0.2), (["farming", "music"], [9, 1], 0.2), (["music"], [1], 0.5), (["music"], [1], 0.2)],
+)
+def test_large_few_and_lone_subjects(spark, names, weights, none):
+    rng = random.Random(7)
+    docs, truth = sized(names, weights, 900, rng, none)
+    labels = [(d, rng.choice(names) if rng.random() < 0.05 else t) for d in range(0, 900, 3) for t in truth[d]]
+    assert accuracy(spark, docs, truth, labels, names) > 0.95
