@@ -43,15 +43,43 @@ MOST_TERMS = 500_000
 #: Characters that are taken apart at a time; their terms by subjects are what a worker holds.
 PORTION = 500_000
 
-_SENTENCE = regex.compile(r"(?<=[.!?…。！？])[\"”’»)\]]*\s+|\n[ \t]*\n")
+#: Scripts that are written without spaces between words.
+_UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}\p{Tai_Le}\p{New_Tai_Lue}\p{Tai_Tham}\p{Tai_Viet}\p{Javanese}\p{Balinese}"
+_CLOSING = r"[\"”’»)\]」』】》〉]*"
+_SPACED_END = rf"(?<=[.!?…。؟۔।॥։።፧።။។]){_CLOSING}\s+|\n[ \t]*\n"
+_SENTENCE = regex.compile(_SPACED_END)
 _TERM = re.compile(r"[^\W\d_]{2,}")
+#: Texts with any of these are read by the patterns below; the first holds all blocks that may have any, and is quicker.
+_MAY_BE_OTHER = re.compile("[\u02ea\u02eb\u0300-\u036f\u0483-\u0489\u0590-\u1dff\u20d0-\u20ff\u2c00-\U0010ffff]")
+_OTHER = regex.compile(rf"[\p{{M}}{_UNSPACED}]")
+#: Ideographic and Burmese, Khmer and Tibetan marks end a sentence without white space; so do ! and ? between characters of
+#: such scripts, and white space alone does in those of them that have no mark, as Thai.
+_OTHER_SENTENCE = regex.compile(
+    rf"{_SPACED_END}|(?<=[。॥။។།༎]){_CLOSING}\s*|(?<=[{_UNSPACED}]{_CLOSING}[!?…]+){_CLOSING}\s*(?=[{_UNSPACED}\"“‘«(\[「『【《〈])"
+    r"|(?<=[\p{Thai}\p{Lao}\p{Tai_Le}\p{New_Tai_Lue}\p{Tai_Viet}]\p{M}*)\s+(?=[\p{Thai}\p{Lao}\p{Tai_Le}\p{New_Tai_Lue}\p{Tai_Viet}])"
+)
+#: A word of a spaced script, or a run of one that isn't.
+_OTHER_TERM = regex.compile(rf"(?P<run>[ー々{_UNSPACED}][ー々\p{{M}}{_UNSPACED}]*)|[[\p{{L}}\p{{M}}]--[ー々{_UNSPACED}]]{{2,}}", regex.V1)
+_CHARACTER = regex.compile(r".\p{M}*", regex.S)
+
+
+def _terms(sentence: str) -> Iterator[str]:
+    """Words, and in place of words the pairs of neighbouring characters where no spaces divide them; marks go with their letter."""
+    for m in _OTHER_TERM.finditer(sentence):
+        if m["run"] is None:
+            yield m[0]
+            continue
+        characters = _CHARACTER.findall(m[0])
+        yield from map("".join, zip(characters, characters[1:], strict=False)) if len(characters) > 1 else characters
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The terms of each sentence: its words, once each, in one case."""
+    """The terms of each sentence, once each, in one case: its words, or pairs of characters in scripts without spaces."""
     out = []
-    for sentence in _SENTENCE.split(composed(undivided(visible(text).replace("\r", ""))).strip()):
-        terms = set(_TERM.findall(sentence.casefold()))
+    seen = composed(undivided(visible(text).replace("\r", ""))).strip()
+    other = not seen.isascii() and _MAY_BE_OTHER.search(seen) is not None and _OTHER.search(seen) is not None
+    for sentence in (_OTHER_SENTENCE if other else _SENTENCE).split(seen):
+        terms = set(_terms(sentence.casefold()) if other else _TERM.findall(sentence.casefold()))
         if terms:
             out.append(sorted(terms))
     return out

@@ -88,3 +88,35 @@ def test_large_few_and_lone_subjects(spark, names, weights, none):
     docs, truth = sized(names, weights, 900, rng, none)
     labels = [(d, rng.choice(names) if rng.random() < 0.05 else t) for d in range(0, 900, 3) for t in truth[d]]
     assert accuracy(spark, docs, truth, labels, names) > 0.95
+
+
+def test_terms_and_sentences_of_other_scripts():
+    assert sentences("我喜欢音乐。他种田！是吗？好") == [["喜欢", "我喜", "欢音", "音乐"], ["他种", "种田"], ["是吗"], ["好"]]
+    assert sentences("「海へ行く。」と言った。終わり") == [["へ行", "海へ", "行く"], sorted(["と言", "言っ", "った"]), sorted(["終わ", "わり"])]
+    assert sentences("हिन्दी में किताब है। संगीत सुनो।") == [sorted(["हिन्दी", "में", "किताब", "है"]), sorted(["संगीत", "सुनो"])]
+    assert len(sentences("ฉันชอบดนตรี เขาทำนา")) == 2
+    assert sentences("AI技术 works. Next") == [sorted(["ai", "技术", "works"]), ["next"]]
+    assert sentences("Ça va bien… Où est-il? Là-bas.") == [["bien", "va", "ça"], ["est", "il", "où"], ["bas", "là"]]
+
+
+OTHERS = {
+    "zh": ("。", ["小提琴 钢琴 奏鸣曲 合唱 旋律 风琴", "拖拉机 大麦 收获 犁地 绵羊 果园", "船锚 船舵 桅杆 港口 龙骨 潮汐"], "办公室里没有人看过这个数字", "今天{}和{}都很重要"),
+    "th": (" ", ["ไวโอลิน เปียโน โซนาตา ประสานเสียง ทำนอง ออร์แกน", "รถไถ ข้าวบาร์เลย์ เก็บเกี่ยว คันไถ แกะ สวนผลไม้", "สมอเรือ หางเสือ เสากระโดง ท่าเรือ กระดูกงู น้ำขึ้น"], "ไม่มีใครตรวจสอบตัวเลขนี้", "วันนี้{}และ{}สำคัญมาก"),
+    "hi": ("। ", ["वायलिन पियानो सोनाटा गायन धुन बांसुरी", "ट्रैक्टर जौ फसल हल भेड़ बगीचा", "लंगर पतवार मस्तूल बंदरगाह नाव ज्वार"], "दफ्तर में किसी ने यह संख्या नहीं देखी", "आज {} और {} बहुत जरूरी हैं"),
+}
+
+
+@pytest.mark.parametrize("language", sorted(OTHERS))
+def test_subjects_of_other_scripts(spark, language):
+    end, words, plain, line = OTHERS[language]
+    rng, names = random.Random(3), ["farming", "music", "sailing"]
+    by_name = dict(zip(["music", "farming", "sailing"], words, strict=True))
+    docs, truth = [], {}
+    for d in range(600):
+        topic = rng.choice([None, *names])
+        lines = [plain] * 2 + [line.format(*rng.sample(by_name[topic].split(), 2)) for _ in range(4 if topic else 0)]
+        rng.shuffle(lines)
+        docs.append((d, end.join([*lines, ""]).strip()))
+        truth[d] = {topic} - {None}
+    labels = [(d, t) for d in range(0, 600, 3) for t in truth[d]]
+    assert accuracy(spark, docs, truth, labels, names) > 0.95
