@@ -37,7 +37,7 @@ PRIOR_WORDS = 0.5
 ON_SUBJECT = 0.5
 #: A document is on a subject that this share of its sentences on any subject are about.
 SHARE = 1 / 3
-#: Anchored terms that a table of weights may hold; beyond, the most significant stay.
+#: Anchored terms whose weights go to the workers by the driver; if there are more, all stay a table that is joined.
 MOST_TERMS = 500_000
 
 #: Characters that are taken apart at a time; their terms by subjects are what a worker holds.
@@ -114,9 +114,6 @@ class Weights:
         self.subjects, self.weights = subjects, weights
         self.at = {t: i for i, t in enumerate(terms)}
 
-    def parts(self) -> tuple[int, list[str], np.ndarray]:
-        return self.subjects, list(self.at), self.weights
-
     def explain(self, terms: list[str], sentence: np.ndarray, document: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of anchored terms, what of each is explained by each subject, and those sums by sentence."""
         at = np.fromiter((self.at.get(t, -1) for t in terms), np.int64, len(terms))
@@ -170,8 +167,9 @@ def _elsewhere(ratio: np.ndarray, prior: np.ndarray) -> np.ndarray:
     return shared
 
 
-def _anchored(counted: pd.DataFrame, priors: dict[str, np.ndarray], subjects: int, least_z: float, least: int, lift: float) -> Weights:
-    """Weights from counts: c0.. are the sentences that a term stands in, by the subject of the rest; d0.. the same by the rest
+def _anchored(counted: pd.DataFrame, priors: dict[str, np.ndarray], subjects: int, least_z: float, least: int, lift: float) -> pd.DataFrame:
+    """The anchored terms of counts: e0.. is what a term has beyond chance in every subject, best where it has most, chance its
+    ratio by chance there, told its counts on any subject, every all. Each term is tested by itself. c0.. are the sentences that a term stands in, by the subject of the rest; d0.. the same by the rest
     of the document; n is all its sentences.
 
     A term that stands anywhere has about the same ratio of counts to expected counts in every subject. The median of the
@@ -197,16 +195,8 @@ def _anchored(counted: pd.DataFrame, priors: dict[str, np.ndarray], subjects: in
     excess = np.where(kept, (c - shared * expected)[:, :subjects], 0)
     some = excess.sum(axis=1) > 0
     best = excess.argmax(axis=1)
-    chance = shared[np.arange(len(c)), best]
-    # a term that is often without any other of its subject, unlike most anchored ones of it, has another use as well
-    usual = np.ones(subjects)
-    for i in range(subjects):
-        clear = some & (chance < 0.1) & (best == i)
-        usual[i] = np.median((told / every)[clear]) if clear.any() else 1.0
-    other = chance * told + np.maximum(every - told / np.maximum(usual[best], 1e-6), 0)
-    h = np.concatenate([excess, other[:, None]], axis=1)[some]
-    scale = np.concatenate([h[:, :subjects].sum(axis=0), [max(every[some].sum(), 1.0)]])
-    return Weights(subjects, counted["term"][some].tolist(), h / np.maximum(scale, 1e-12))
+    out = {"term": counted["term"].to_numpy()} | {f"e{i}": excess[:, i] for i in range(subjects)}
+    return pd.DataFrame(out | {"best": best, "chance": shared[np.arange(len(c)), best], "told": told, "every": every})[some]
 
 
 def _sums(subjects: int) -> list:
@@ -214,16 +204,42 @@ def _sums(subjects: int) -> list:
     return [F.sum(name).alias(name) for name in names]
 
 
-def _collected(counts: DataFrame, prior: np.ndarray, subjects: int, least_z: float, least: int) -> pd.DataFrame:
-    """Of the summed counts those of terms that can be anchored: a bounded table, chosen by the cluster."""
-    total = F.col("n") if len(prior) > subjects else sum((F.col(f"d{i}") for i in range(1, subjects)), F.col("d0"))
-    tests = []
-    for i, p in enumerate(prior[:subjects].tolist()):
-        z = (F.col(f"d{i}") - F.col("t") * p) / F.sqrt(F.col("t") * p * (1 - p) + 1)
-        tests.append(F.when((F.col(f"d{i}") >= least) & (F.col(f"c{i}") >= least), z).otherwise(0.0))
-    best = F.greatest(*tests) if len(tests) > 1 else tests[0]
-    kept = counts.withColumn("t", total).where("t > 0").withColumn("z", best).where(F.col("z") >= least_z)
-    return kept.orderBy(F.desc("z"), "term").limit(MOST_TERMS).toPandas()
+def _weights(passed: DataFrame, subjects: int) -> DataFrame:
+    """(term, w) of the anchored terms: their weights in every subject and in what all share."""
+    # a term that is often without any other of its subject, unlike most anchored ones of it, has another use as well
+    rates = passed.where("chance < 0.1").groupBy("best").agg(F.percentile_approx(F.col("told") / F.col("every"), 0.5, 100_000).alias("usual"))
+    usual = {r["best"]: r["usual"] for r in rates.collect()}
+    by_subject = F.array(*[F.lit(float(max(usual.get(i, 1.0), 1e-6))) for i in range(subjects)])
+    other = F.col("chance") * F.col("told") + F.greatest(F.col("every") - F.col("told") / by_subject[F.col("best")], F.lit(0.0))
+    sums = passed.agg(*[F.sum(f"e{i}").alias(f"e{i}") for i in range(subjects)], F.sum("every").alias("every")).first()
+    scale = [max(sums[f"e{i}"] or 0.0, 1e-12) for i in range(subjects)]
+    parts = [*[F.col(f"e{i}") / scale[i] for i in range(subjects)], other / max(sums["every"] or 0.0, 1.0)]
+    return passed.select("term", F.array(*parts).alias("w"))
+
+
+def _own(portion: pd.DataFrame, subjects: int) -> Weights:
+    """The weights that the documents of a portion bring with them."""
+    known = {}
+    for terms, w in zip(portion["terms"], portion["w"], strict=True):
+        if terms is not None:
+            known.update(zip(terms, np.asarray(w, float).reshape(-1, subjects + 1), strict=True))
+    return Weights(subjects, list(known), np.asarray(list(known.values()), float).reshape(-1, subjects + 1))
+
+
+def _with_own(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """Documents with the anchored terms of their texts and these terms' weights, joined by shuffles on the term and on the
+    text's digest; equal texts are looked up once."""
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in (p for b in batches for p in _portions(b)):
+            own = [sorted({x for one in sentences(t) for x in one}) for t in batch["t"]]
+            digests = np.repeat(batch["h"].to_numpy(dtype=object), [len(x) for x in own])
+            yield pd.DataFrame({"h": digests, "term": np.asarray([x for one in own for x in one], dtype=object)})
+
+    keyed = docs.withColumn("h", F.md5("t"))
+    found = keyed.select("h", "t").mapInPandas(pairs, "h string, term string").distinct().join(table, "term")
+    by_text = found.groupBy("h").agg(F.collect_list(F.struct("term", "w")).alias("own"))
+    return keyed.join(by_text.select("h", F.expr("own.term as terms"), F.expr("flatten(own.w) as w")), "h", "left").drop("h")
 
 
 def subject_shares(
@@ -268,8 +284,27 @@ def subject_shares(
         by = durable(of.mapInPandas(run, f"term string, {columns}").groupBy("term").agg(*_sums(k)))
         return by.where("term != ''"), _priors(by.where("term = ''").agg(*_sums(k)).first(), k)
 
-    def anchored(by: DataFrame, priors: dict[str, np.ndarray], least_z: float, least: int, lift: float = LIFT) -> Weights:
-        return _anchored(_collected(by, priors["d"], k, least_z, least), priors, k, least_z, least, lift)
+    def anchored(by: DataFrame, priors: dict[str, np.ndarray], least_z: float, least: int, lift: float = LIFT) -> tuple:
+        """Documents, and what gives each portion of them with its weights."""
+
+        def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield _anchored(batch, priors, k, least_z, least, lift)
+
+        excess = ", ".join(f"e{i} double" for i in range(k))
+        passed = durable(by.mapInPandas(test, f"term string, {excess}, best int, chance double, told double, every double"))
+        table = _weights(passed, k)
+        shared = None
+        if passed.count() <= MOST_TERMS:
+            few = table.toPandas()
+            shared = spark.sparkContext.broadcast((k, few["term"].tolist(), np.asarray(few["w"].tolist(), float).reshape(-1, k + 1)))
+
+        def read(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, Weights]]:
+            h = Weights(*shared.value) if shared is not None else None
+            for portion in (p for b in batches for p in _portions(b)):
+                yield portion, h or _own(portion, k)
+
+        return (docs if shared is not None else _with_own(docs, table)), read
 
     by, priors = summed(docs.join(given, "k"), seeds)
     if priors is not None and len(priors["c"]) > k:
@@ -280,13 +315,11 @@ def subject_shares(
         lift = LIFT
     if priors is None:
         return spark.createDataFrame([], f"{doc_key} {kind}, subject string, sentences long, share double")
-    weights = anchored(by, priors, ANCHOR_Z[0], LEAST[0], lift)
+    fed, read = anchored(by, priors, ANCHOR_Z[0], LEAST[0], lift)
     for least_z, least in zip(ANCHOR_Z[1:], LEAST[1:], strict=True):
-        shared = spark.sparkContext.broadcast(weights.parts())
 
-        def recount(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            h = Weights(*shared.value)
-            for batch in (p for b in batches for p in _portions(b)):
+        def recount(batches: Iterator[pd.DataFrame], read=read) -> Iterator[pd.DataFrame]:
+            for batch, h in read(batches):
                 terms, sentence, document, sizes = _flat(batch["t"])
                 place, part, by_sentence = h.explain(terms, sentence, document, sizes)
                 if not len(terms):
@@ -307,14 +340,13 @@ def subject_shares(
                 each = np.append(np.ones(len(terms)), len(sizes))
                 yield partial([*terms, ""], np.concatenate([in_rest, every]), np.concatenate([others[sentence], others.sum(axis=0)[None, :]]), each)
 
-        by, priors = summed(docs, recount)
-        weights = anchored(by, priors, least_z, least) if priors is not None else weights
-    shared = spark.sparkContext.broadcast(weights.parts())
+        by, priors = summed(fed, recount)
+        if priors is not None:
+            fed, read = anchored(by, priors, least_z, least)
     names = np.asarray(subjects, dtype=object)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h = Weights(*shared.value)
-        for batch in (p for b in batches for p in _portions(b)):
+        for batch, h in read(batches):
             terms, sentence, document, sizes = _flat(batch["t"])
             by_sentence = h.explain(terms, sentence, document, sizes)[2]
             on = np.flatnonzero(by_sentence.max(axis=1) >= ON_SUBJECT) if len(sizes) else np.zeros(0, np.int64)
@@ -324,7 +356,7 @@ def subject_shares(
             share = counts[d, s] / counts.sum(axis=1)[d]
             yield pd.DataFrame({"k": batch["k"].to_numpy()[d], "subject": names[s], "sentences": counts[d, s], "share": share})
 
-    out = docs.mapInPandas(assign, f"k {kind}, subject string, sentences long, share double")
+    out = fed.mapInPandas(assign, f"k {kind}, subject string, sentences long, share double")
     return out.select(F.col("k").alias(doc_key), "subject", "sentences", "share")
 
 

@@ -120,3 +120,18 @@ def test_subjects_of_other_scripts(spark, language):
         truth[d] = {topic} - {None}
     labels = [(d, t) for d in range(0, 600, 3) for t in truth[d]]
     assert accuracy(spark, docs, truth, labels, names) > 0.95
+
+
+def test_any_number_of_terms(spark, monkeypatch):
+    rng, names = random.Random(5), sorted(SUBJECTS)
+    docs, truth = sized(names, [1, 1, 1], 400, rng)
+    docs += [docs[0], (400, docs[1][1]), (401, None), (402, "")]
+    labels = [(d, t) for d in range(0, 400, 3) for t in truth[d]]
+
+    def rows():
+        got = subject_shares(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", names, spark.createDataFrame(labels, "doc_id long, subject string"), "doc_id", "subject")
+        return sorted((r.doc_id, r.subject, r.sentences, round(r.share, 9)) for r in got.collect())
+
+    free = rows()
+    monkeypatch.setattr("groundwork.llm.subjects.MOST_TERMS", 5)
+    assert rows() == free and len({r[1] for r in free}) == 3
