@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: How many wrappers or encodings may lie around one record.
+#: Layers that are tried around every record; only payloads that need more go on, as far as their length allows.
 WRAPPERS = 6
 _OPTIONS = "map('allowSingleQuotes', 'false')"
 
@@ -103,14 +103,18 @@ def unnest(df: DataFrame, key: str, payload: str, fields: list[str], children: l
     """(key, record map<string,string>, one array<struct<k, v>> column per child) of every payload that reads as a record.
 
     A null, empty or damaged payload, and one whose record isn't an object, gives no row. A byte order mark and space
-    around the payload are passed over. ``k`` is an entry's position from 0 or its own key; below another child the
+    around the payload are passed over, and any number of wrappers around the record that can be read as JSON. ``k`` is an entry's position from 0 or its own key; below another child the
     parent's key, a dot and the entry's. ``v`` is the entry's JSON text, or what a string holds. Null entries count for
     positions and are left out unless keep_null. A key in more than one row gives the rows of each; other columns of df are
     dropped. An empty table gives an empty table.
     """
     text = F.expr(f"regexp_replace(`{payload}`, '^[\\\\uFEFF\\\\s]+|\\\\s+$', '')")
     start = "named_struct('text', _text, 'fields', cast(null as map<string,string>))"
-    layers = f"aggregate(sequence(1, {WRAPPERS}), {start}, (acc, i) -> {_layer(fields)}, acc -> acc.fields)"
+    layer = _layer(fields)
+    first = f"aggregate(sequence(1, {WRAPPERS}), {start}, (acc, i) -> {layer})"
+    # a wrapper takes two characters at least
+    rest = f"aggregate(sequence(1, 1 + length(some.text) div 2), some, (acc, i) -> {layer}, acc -> acc.fields)"
+    layers = _let(first, "some", f"case when some.text is null then some.fields else {rest} end")
     base = df.select(F.col(key), text.alias("_text")).select(key, F.expr(layers).alias("record")).where("record is not null")
     columns = [F.col(key), F.col("record")]
     by_name = {c.name: c for c in children}

@@ -60,3 +60,18 @@ def test_typed_children_and_empty_table(spark):
     assert [(r.child_key, r.name, r.ms, r.doubled) for r in rows] == [("0", "a", 1, 2), ("2", "b", 7, 14)]
     assert nested.select(record_column("route", "string").alias("r")).first().r == "web"
     assert unnest(df.limit(0), "id", "payload", FIELDS, CHILDREN).count() == 0
+
+
+def test_any_number_of_wrappers(spark):
+    payloads = []
+    for depth in (4, 5, 6, 7, 12, 40):
+        value = RECORD
+        for i in range(depth):
+            value = [value] if i % 2 else {"v": i, "data": value}
+        payloads.append(json.dumps(value))
+    value = json.dumps(RECORD)
+    for i in range(7):
+        value = json.dumps({"v": i, "data": value})
+    payloads.append(value)
+    got = links(spark, payloads)
+    assert all(got.get(i) == LINKS for i in range(len(payloads)))
