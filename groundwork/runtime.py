@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
+import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,24 +15,54 @@ from pyspark.sql import functions as F
 #: Rows times columns is no size; a side is broadcast only if its measured bytes are below this.
 BROADCAST_BYTES = 64 << 20
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_ROOTS: set[str] = set()
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a local session without one gets a temporary folder."""
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir); a local session without one gets a temporary folder, which
+    goes with the process."""
     sc = spark.sparkContext
-    known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        known = tempfile.mkdtemp(prefix="groundwork-checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(known)
-    return known
+    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    return known or _temporary_folder(sc.master)
+
+
+@functools.cache
+def _temporary_folder(master: str) -> str:
+    if not master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="groundwork-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that a lost executor costs no more than a read."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and kept as compressed Parquet in the shared folder, so that a lost executor costs no more than a
+    read, and a later step reads only the columns it needs. release() removes it; what is left goes when the process ends."""
+    spark = df.sparkSession
+    root = f"{shared_folder(spark)}/groundwork-{spark.sparkContext.applicationId}"
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_remove, spark, root)
+    kept = spark.read.schema(df.schema).parquet(path)
+    _PATHS[kept] = path
+    return kept
+
+
+def release(*kept: DataFrame) -> None:
+    """Removes tables of durable() that no later step reads."""
+    for df in kept:
+        if path := _PATHS.pop(df, None):
+            _remove(df.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # the session is over
+        return
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bounded_batches(spark: SparkSession, limit: int = 16 << 20) -> None:

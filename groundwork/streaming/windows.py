@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from groundwork.runtime import checkpoint_dir
+from groundwork.runtime import shared_folder
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,7 +27,7 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     The sink is a Parquet folder with its commit log, so a batch that is run again isn't written twice.
     """
     spark = stream.sparkSession
-    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
