@@ -81,7 +81,7 @@ def _measures(spark: SparkSession, folder: str) -> DataFrame:
     each = "stack(3, 'latency_ms', double(latency_ms), 'ttft_ms', double(ttft_ms), 'cost_usd', cost_usd) as (metric, v)"
     return quick.select(
         F.lower(F.trim("route")).alias("route"), F.date_format(F.col("ran_at"), "yyyy-MM-dd").alias("run_day"), F.expr(each)
-    )
+    ).where("v >= 0")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
