@@ -1,42 +1,86 @@
-"""An FM-index over a collection of texts: the Burrows-Wheeler transform of their concatenation as a wavelet matrix of packed
-bits, searched backwards for many texts at once."""
+"""A compressed FM-index over a collection of texts: the Burrows-Wheeler transform of their concatenation as a wavelet matrix
+of packed bits, and three packed bits a row for what the rows' texts have in common. Searched backwards for many texts at once.
+
+The suffixes' order is needed only while the index is built. What stays is levels + 3 bits a symbol and small counts by word.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
+_ONE = np.uint64(1)
+
+
+class Bits:
+    """Packed bits with their ranks, and the nearest one to each side of a place."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        packed = np.packbits(bits, bitorder="little")
+        self.words = np.zeros(len(bits) // 64 + 1, np.uint64)
+        self.words.view(np.uint8)[: len(packed)] = packed
+        self.counts = np.zeros(len(self.words) + 1, np.int32)
+        np.cumsum(np.bitwise_count(self.words), out=self.counts[1:])
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """How many ones stand before each place."""
+        word = at >> 6
+        below = (_ONE << (at & 63).astype(np.uint64)) - _ONE
+        return self.counts[word] + np.bitwise_count(self.words[word] & below)
+
+    def with_neighbours(self) -> Bits:
+        """Also keeps, by word, the nearest other word with a one to each side."""
+        some = np.flatnonzero(self.words)
+        at = np.arange(len(self.words))
+        k = np.searchsorted(some, at)
+        self.left = np.where(k > 0, some[np.maximum(k - 1, 0)], 0).astype(np.int32) if len(some) else np.zeros(len(at), np.int32)
+        k = np.searchsorted(some, at, side="right")
+        self.right = np.where(k < len(some), some[np.minimum(k, len(some) - 1)], 0).astype(np.int32) if len(some) else np.zeros(len(at), np.int32)
+        return self
+
+    def last_up_to(self, at: np.ndarray) -> np.ndarray:
+        """The place of the last one that doesn't stand behind each place; there must be one."""
+        word = at >> 6
+        masked = self.words[word] & (~np.uint64(0) >> (np.uint64(63) - (at & 63).astype(np.uint64)))
+        none = masked == 0
+        word = np.where(none, self.left[word], word)
+        return (word << 6) + _highest(np.where(none, self.words[word], masked))
+
+    def first_behind(self, at: np.ndarray, end: int) -> np.ndarray:
+        """The place of the first one behind each place; end if there is none."""
+        word = at >> 6
+        masked = self.words[word] & ~(~np.uint64(0) >> (np.uint64(63) - (at & 63).astype(np.uint64)))
+        none = masked == 0
+        word = np.where(none, self.right[word], word)
+        found = np.where(none, self.words[word], masked)
+        place = (word << 6) + np.bitwise_count((found & (~found + _ONE)) - _ONE)
+        return np.where((found == 0) | (place <= at), end, place)
+
+
+def _highest(words: np.ndarray) -> np.ndarray:
+    """The place of each word's highest one."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        words = words | (words >> np.uint64(shift))
+    return np.bitwise_count(words).astype(np.int64) - 1
+
 
 class WaveletMatrix:
     """Symbols below 2**levels in n * levels bits and counts per 64 of them; ranks for arrays of symbols and positions."""
 
     def __init__(self, symbols: np.ndarray) -> None:
-        n = len(symbols)
-        self.levels = max(1, int(symbols.max()).bit_length()) if n else 1
-        self.words, self.counts, self.zeros = [], [], []
+        self.levels = max(1, int(symbols.max()).bit_length()) if len(symbols) else 1
+        self.planes, self.zeros = [], []
         current = symbols
         for level in range(self.levels - 1, -1, -1):
-            bits = ((current >> level) & 1).astype(np.uint8)
-            packed = np.packbits(bits, bitorder="little")
-            words = np.zeros(n // 64 + 1, np.uint64)
-            words.view(np.uint8)[: len(packed)] = packed
-            counts = np.zeros(len(words) + 1, np.int32)
-            np.cumsum(np.bitwise_count(words), out=counts[1:])
-            self.words.append(words)
-            self.counts.append(counts)
-            self.zeros.append(n - int(counts[-1]))
-            order = bits.astype(bool)
+            order = ((current >> level) & 1).astype(bool)
+            self.planes.append(Bits(order))
+            self.zeros.append(len(order) - int(np.count_nonzero(order)))
             current = np.concatenate([current[~order], current[order]])
-        top = 1 << self.levels
-        every = np.arange(top)
-        self.first = self._down(every, np.zeros(top, np.int64))
+        self.first = self._down(np.arange(1 << self.levels), np.zeros(1 << self.levels, np.int64))
 
     def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for k in range(self.levels):
-            word = at >> 6
-            below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.counts[k][word] + np.bitwise_count(self.words[k][word] & below)
-            bit = (symbol >> (self.levels - 1 - k)) & 1
-            at = np.where(bit == 1, self.zeros[k] + ones, at - ones)
+        for k, plane in enumerate(self.planes):
+            ones = plane.rank(at)
+            at = np.where((symbol >> (self.levels - 1 - k)) & 1, self.zeros[k] + ones, at - ones)
         return at
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -44,112 +88,110 @@ class WaveletMatrix:
         return self._down(symbol, at) - self.first[symbol]
 
 
+def _sorted(body: np.ndarray, width: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, rank, less): suffixes in order of their first span symbols, their ranks by these, and ranks by the first
+    span - 1. body: symbols of width bits, a lowest one at the end."""
+    n = len(body)
+
+    def behind(values: np.ndarray, by: int) -> np.ndarray:
+        out = np.zeros(n, values.dtype)
+        out[: max(0, n - by)] = values[by:]
+        return out
+
+    # as many symbols as 62 bits hold make the first key
+    key, depth = body.astype(np.int64), 1
+    while depth * 2 <= span - 1 and depth * 2 * width <= 62:
+        key = (key << (depth * width)) | behind(key, depth)
+        depth *= 2
+
+    def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(key)
+        ordered = key[order]
+        rank = np.zeros(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+        return order, rank
+
+    order, rank = ranked(key)
+    while depth * 2 <= span - 1:
+        order, rank = ranked(rank * (n + 1) + behind(rank + 1, depth))
+        depth *= 2
+    less = rank
+    if depth < span - 1:
+        order, less = ranked(rank * (n + 1) + behind(rank + 1, span - 1 - depth))
+    order, rank = ranked(less * (n + 1) + behind(rank + 1, span - depth))
+    return order, rank, less
+
+
 class FMIndex:
-    """texts, indexed for patterns of up to ``span`` symbols; span is a power of two times less than two.
+    """texts, indexed for patterns of up to ``span`` symbols. owner: who each text belongs to; several: which texts belong to
+    more than that one.
 
-    Suffixes are sorted by their first ``depth`` >= span symbols, which is what patterns of that length can tell apart.
+    Suffixes are sorted by their first span symbols, which is what patterns of that length can tell apart.
     """
 
-    def __init__(self, texts: list[str], span: int) -> None:
-        joined = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    def __init__(self, texts: list[str], span: int, owner: np.ndarray | None = None, several: np.ndarray | None = None) -> None:
+        joined = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-        self.lengths = lengths
+        owner = np.arange(len(texts)) if owner is None else owner
+        several = np.zeros(len(texts), bool) if several is None else several
+        self.span, self.lengths = span, lengths
         self.alphabet = np.unique(joined)
-        n = len(joined) + len(texts) + 1
+        self.rows = len(joined) + len(texts) + 1
+        width = (len(self.alphabet) + 1).bit_length()
         # 0 ends everything, 1 ends a text
-        body = np.ones(n, np.int64)
-        starts = np.cumsum(lengths + 1) - (lengths + 1)
-        owner = np.repeat(np.arange(len(texts)), lengths + 1)
-        inside = np.ones(n, bool)
-        inside[starts + lengths] = False
+        body = np.ones(self.rows, np.uint8 if width <= 8 else np.uint16 if width <= 16 else np.uint32)
+        self.starts = np.cumsum(lengths + 1) - (lengths + 1)
+        inside = np.ones(self.rows, bool)
+        inside[self.starts + lengths] = False
         inside[-1] = False
         body[inside] = np.searchsorted(self.alphabet, joined) + 2
         body[-1] = 0
-        self.body, self.starts, self.span = body, starts, span
-        half = 1 << (span.bit_length() - 1)
-        rank, step = body.copy(), 1
-        at_half = None
-        order = np.argsort(rank, kind="stable")
-        while step < span:
-            if step == half:
-                at_half = rank
-            second = np.zeros(n, np.int64)
-            second[: max(0, n - step)] = rank[step:] + 1
-            key = rank * (n + 2) + second
-            order = np.argsort(key, kind="stable")
-            sorted_key = key[order]
-            new = np.zeros(n, np.int64)
-            new[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-            rank, step = new, step * 2
-        if at_half is None:
-            at_half = rank
-        self.order = order
-        self.owner = np.append(owner, -1)[order]
-        self._same_span = self._changes(at_half, span - half)
-        self._same_less = self._changes(at_half, span - 1 - half) if span > half else self._by_prefix(span - 1)
-        bwt = body[order - 1]
-        self.matrix = WaveletMatrix(bwt)
+        self.body = body  # the texts that are streamed; the index doesn't need them
+        order, _, less = _sorted(body, width, span)
+        text = np.append(np.repeat(np.arange(len(texts)), lengths + 1), -1)[order]
+        less = less[order]
+        self.apart = Bits(np.concatenate([[True], less[1:] != less[:-1]])).with_neighbours()
+        who = np.where(text >= 0, owner[text] if len(texts) else 0, -1)
+        self.turns = Bits(np.concatenate([[False], who[1:] != who[:-1]]))
+        self.several = Bits((text >= 0) & (several[text] if len(texts) else False))
+        self.matrix = WaveletMatrix(body[order - 1])
         counts = np.bincount(body, minlength=1 << self.matrix.levels)
         self.before = np.concatenate([[0], np.cumsum(counts)[:-1]])
 
-    def _changes(self, rank: np.ndarray, more: int) -> np.ndarray:
-        """bool per row: its suffix differs from the row above within the half plus more first symbols."""
-        n, order = len(rank), self.order
-        further = np.full(n, -1, np.int64)
-        further[: max(0, n - more)] = rank[more:]
-        out = np.ones(n, bool)
-        a, b = order[1:], order[:-1]
-        out[1:] = (rank[a] != rank[b]) | (further[a] != further[b])
-        return out
-
-    def _by_prefix(self, length: int) -> np.ndarray:
-        n, order = len(self.body), self.order
-        out = np.ones(n, bool)
-        a, b = order[1:], order[:-1]
-        differs = np.zeros(n - 1, bool)
-        for j in range(length):
-            x, y = self.body[np.minimum(a + j, n - 1)], self.body[np.minimum(b + j, n - 1)]
-            differs |= x != y
-        out[1:] = differs
-        return out
-
-    def groups(self) -> np.ndarray:
-        """For each row the first row of its group: those with the same first span symbols."""
-        return np.maximum.accumulate(np.where(self._same_span, np.arange(len(self.order)), 0))
-
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step: the rows of the symbol followed by what the rows from lo to hi begin with."""
         both = self.matrix.rank(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
         base = self.before[symbol]
         return base + both[: len(lo)], base + both[len(lo) :]
 
-    def matching(self, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the indexed texts, streamed from their ends: (text, start) of every stretch of span symbols whose rows are
-        marked. marked: bool per row.
+    def widened(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that share span - 1 symbols with the row lo."""
+        return self.apart.last_up_to(lo), self.apart.first_behind(lo, self.rows)
+
+    def common(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether the rows from lo to hi belong to more than one owner."""
+        many = self.several.rank(hi) > self.several.rank(lo)
+        return many | ((hi > lo + 1) & (self.turns.rank(hi) > self.turns.rank(np.minimum(lo + 1, hi))))
+
+    def matching(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the texts, streamed from their ends: (text, start) of every stretch of span symbols that more than one owner has.
 
         This is the matching statistic cut at span. A text is read from right to left with the rows that begin with what
         was read. Once span symbols are matched, the last is dropped: the rows widen to those that share one symbol less,
         so each further symbol takes one step.
         """
-        n = len(self.order)
-        row = np.arange(n)
-        first = np.maximum.accumulate(np.where(self._same_less, row, 0))
-        edges = np.flatnonzero(self._same_less)
-        end = np.append(edges[1:], n)[np.cumsum(self._same_less) - 1]
         lanes = np.flatnonzero(self.lengths >= self.span)
         lanes = lanes[np.argsort(-self.lengths[lanes], kind="stable")]
         lengths, base = self.lengths[lanes], self.starts[lanes]
-        lo, hi = np.zeros(len(lanes), np.int64), np.full(len(lanes), n, np.int64)
-        texts, starts = [], []
+        lo, hi = np.zeros(len(lanes), np.int64), np.full(len(lanes), self.rows, np.int64)
+        texts, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for t in range(int(lengths[0]) if len(lanes) else 0):
             live = int(np.searchsorted(-lengths, -t, side="left"))  # lanes longer than t, which come first
             at = lengths[:live] - 1 - t
-            lo[:live], hi[:live] = self.step(self.body[base[:live] + at], lo[:live], hi[:live])
+            lo[:live], hi[:live] = self.step(self.body[base[:live] + at].astype(np.int64), lo[:live], hi[:live])
             if t >= self.span - 1:
-                hit = (hi[:live] > lo[:live]) & marked[np.minimum(lo[:live], n - 1)]
+                hit = self.common(lo[:live], hi[:live])
                 texts.append(lanes[:live][hit])
                 starts.append(at[hit])
-                lo[:live], hi[:live] = first[lo[:live]], end[lo[:live]]
-        if not texts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+                lo[:live], hi[:live] = self.widened(lo[:live])
         return np.concatenate(texts), np.concatenate(starts)

@@ -20,8 +20,9 @@ TOOLS = ["web_search", "fetch_page", "search_documents", "recall_memory", "save_
 
 
 def _passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every delivery: one that is repeated has the same key and content."""
     parts = [
-        records(table(spark, folder, name), "rec_id", text).select(F.lit(name).alias("src_table"), "rec_id", F.col(text).alias("passage"))
+        table(spark, folder, name).where("rec_id is not null").select(F.lit(name).alias("src_table"), "rec_id", F.col(text).alias("passage"))
         for name, text in (("grounding_rows", "snippet"), ("miss_shapes", "sentence"))
     ]
     return parts[0].unionByName(parts[1])
@@ -34,7 +35,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_shared(spark: SparkSession, folder: str) -> DataFrame:
     """For every record how many of its characters are shared elsewhere."""
     runs = p1_found(spark, folder).groupBy("src_table", "rec_id").agg(F.sum("span_len").alias("shared"), F.max("span_len").alias("longest"))
-    every = _passages(spark, folder).withColumn("characters", F.coalesce(F.length("passage"), F.lit(0))).drop("passage")
+    every = _passages(spark, folder).groupBy("src_table", "rec_id").agg(F.max(F.coalesce(F.length("passage"), F.lit(0))).alias("characters"))
     return every.join(runs, ["src_table", "rec_id"], "left").fillna(0, ["shared", "longest"])
 
 
