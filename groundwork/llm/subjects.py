@@ -1,22 +1,28 @@
 """Subjects of documents, by a seeded non-negative factorisation of sentences by terms.
 
 Each row of the matrix is a sentence, each component a subject, and one more component holds what all subjects share. The
-components are anchored: a term has a weight in a subject only if it stands with it significantly more often than chance,
-first in the documents labelled by hand, then, alternately, in all sentences. One half step gives the weights of subjects in
-each sentence by multiplicative updates under the given terms, with the document's own mixture as what goes before; the other
-half counts, for each term, the subjects of the sentences it stands in, by what the rest of the sentence says, and of their
-documents, by what the other sentences say; a term must pass by both. So wrong labels, names that stand somewhere by chance and
-phrases that go with each other on any subject don't reinforce themselves. Counts are taken over all documents and summed by term.
+components are anchored: a term may have a weight in a subject only if it stands with it significantly more often than chance,
+first in the documents labelled by hand, then in all sentences. Given the anchors, both sides are updated alternately by the
+multiplicative rule for the Kullback-Leibler divergence: a sentence's weights under the given terms, with its document's own
+mixture as what goes before, and the terms' weights from the sums, over all sentences, of what each component explains of them.
+That goes on until the divergence stops falling.
+
+Anchors come from counts: for each term, the subjects of the sentences it stands in, by what the rest of the sentence says,
+and of their documents, by what the other sentences say; a term must pass by both. So wrong labels, names that stand somewhere
+by chance and phrases that go with each other on any subject don't anchor themselves. Counts are taken over all documents and
+summed by term. Texts are split once, into numbers that stand for their terms; every pass reads those.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -40,8 +46,12 @@ SHARE = 1 / 3
 #: Anchored terms whose weights go to the workers by the driver; if there are more, all stay a table that is joined.
 MOST_TERMS = 500_000
 
-#: Characters that are taken apart at a time; their terms by subjects are what a worker holds.
+#: The updates end once a round lowers the divergence by less than this share of it.
+TOLERANCE = 0.01
+#: Characters that are taken apart, and terms that are updated, at a time.
 PORTION = 500_000
+#: Terms that a Python worker remembers.
+REMEMBERED = 1 << 20
 
 #: Scripts that are written without spaces between words.
 _UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}\p{Tai_Le}\p{New_Tai_Lue}\p{Tai_Tham}\p{Tai_Viet}\p{Javanese}\p{Balinese}"
@@ -85,64 +95,114 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
-def _portions(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """A batch in portions of about PORTION characters, one document at least."""
-    ends = batch["t"].str.len().cumsum().to_numpy()
-    start = 0
-    while start < len(batch):
-        before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + PORTION, side="right")))
-        yield batch.iloc[start:stop].reset_index(drop=True)
-        start = stop
-
-
-def _flat(texts: pd.Series) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """terms, the sentence of each term, the document of each sentence, of a batch."""
-    terms, sizes, document = [], [], []
-    for d, text in enumerate(texts):
-        for s in sentences(text) if text else []:
-            terms += s
-            sizes.append(len(s))
-            document.append(d)
-    return terms, np.repeat(np.arange(len(sizes)), sizes), np.asarray(document, np.int64), np.asarray(sizes, np.int64)
+def _number(known: dict[str, int], term: str) -> int:
+    """64 bits that stand for a term."""
+    found = known.get(term)
+    if found is None:
+        if len(known) >= REMEMBERED:
+            known.clear()
+        found = known[term] = xxhash.xxh64_intdigest(term) - (1 << 63)
+    return found
+
+
+def split_corpus(docs: DataFrame) -> DataFrame:
+    """(k, d1, d2, terms, sizes) of rows (k, t): the terms of all sentences as numbers, and how many each sentence has. d1 and
+    d2 stand for the text. Texts without a sentence have no row."""
+    kind = docs.schema["k"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            texts = batch.column(3).to_pylist()
+            start = 0
+            while start < len(texts):
+                rows, terms, sizes, ends, size_ends, characters = [], [], [], [0], [0], 0
+                while start < len(texts) and characters < PORTION:
+                    for sentence in sentences(texts[start]):
+                        terms += [_number(known, t) for t in sentence]
+                        sizes.append(len(sentence))
+                    if len(sizes) > size_ends[-1]:
+                        rows.append(start)
+                        ends.append(len(terms))
+                        size_ends.append(len(sizes))
+                    characters += len(texts[start])
+                    start += 1
+                taken = pa.array(rows, pa.int64())
+                lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(np.asarray(v, t))) for e, v, t in ((ends, terms, np.int64), (size_ends, sizes, np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(taken) for i in range(3)] + lists, ["k", "d1", "d2", "terms", "sizes"])
+
+    digests = [F.xxhash64(F.lit(i), "t").alias(f"d{i + 1}") for i in range(2)]
+    return docs.select("k", *digests, "t").mapInArrow(run, f"k {kind}, d1 long, d2 long, terms array<long>, sizes array<int>")
+
+
+class Portion:
+    """Some documents: the sentence of each term, the document of each sentence."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        self.batch = batch
+        lists, sizes = batch.column("terms"), batch.column("sizes")
+        self.documents = batch.num_rows
+        self.terms = lists.flatten().to_numpy(zero_copy_only=False)
+        self.sizes = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.document = np.repeat(np.arange(batch.num_rows), np.diff(sizes.offsets.to_numpy()))
+        self.sentence = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    @staticmethod
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[Portion]:
+        for batch in batches:
+            ends = batch.column("terms").offsets.to_numpy()[1:].astype(np.int64)
+            start = 0
+            while start < batch.num_rows:
+                before = ends[start - 1] if start else ends[0] - len(batch.column("terms")[0])
+                stop = max(start + 1, int(np.searchsorted(ends, before + PORTION, side="right")))
+                yield Portion(batch.slice(start, stop - start))
+                start = stop
+
+
+def _by_group(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by ascending group."""
+    out = np.zeros((n, values.shape[1]))
+    if len(groups):
+        first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+        out[groups[first]] = np.add.reduceat(values, first, axis=0)
+    return out
 
 
 class Weights:
     """Terms by components: of each anchored term its weight in every subject and in what all share."""
 
-    def __init__(self, subjects: int, terms: list[str], weights: np.ndarray) -> None:
-        self.subjects, self.weights = subjects, weights
-        self.at = {t: i for i, t in enumerate(terms)}
-
-    def explain(self, terms: list[str], sentence: np.ndarray, document: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of anchored terms, what of each is explained by each subject, and those sums by sentence."""
-        at = np.fromiter((self.at.get(t, -1) for t in terms), np.int64, len(terms))
-        place = np.flatnonzero(at >= 0)
-        k, n = self.subjects, len(sizes)
+    def __init__(self, subjects: int, terms: np.ndarray, weights: np.ndarray) -> None:
+        order = np.argsort(terms)
+        self.subjects, self.terms, self.weights = subjects, terms[order], weights[order]
+
+    def explain(self, portion: Portion) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Places of anchored terms, what of each is explained by each component, the subjects' sums by sentence, and the
+        divergence, without what doesn't depend on the factors."""
+        k, n = self.subjects, len(portion.sizes)
+        at = np.minimum(np.searchsorted(self.terms, portion.terms), max(len(self.terms) - 1, 0))
+        place = np.flatnonzero(self.terms[at] == portion.terms) if len(self.terms) else np.zeros(0, np.int64)
+        if not len(place):
+            return place, np.zeros((0, k + 1)), np.zeros((n, k)), 0.0
         h = self.weights[at[place]]
-        row = sentence[place]
-        doc = document[row] if len(row) else row
-        docs = int(document.max()) + 1 if len(document) else 0
-        background = (sizes - np.bincount(row, minlength=n)).astype(float)
-        mixture = np.full((docs, k), 1 / k)
-        part = np.zeros((len(place), k + 1))
+        some, row = np.unique(portion.sentence[place], return_inverse=True)  # sentences without an anchored term are on nothing
+        document, m = portion.document[some], len(some)
+        background = (portion.sizes[some] - np.bincount(row, minlength=m)).astype(float)
+        mixture = np.full((portion.documents, k), 1 / k)
         for half in range(2):
-            w = np.zeros((n, k + 1))
-            w[:, :k] = PRIOR_WORDS * mixture[document] + 1e-3 if n else 0
-            w[:, k] = background + 0.5
-            base = w.copy()
+            base = np.column_stack([PRIOR_WORDS * mixture[document] + 1e-3, background + 0.5])
+            w = base
             for _ in range(UPDATES):
                 part = w[row] * h
                 part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
-                w = base.copy()
-                for c in range(k + 1):
-                    w[:, c] += np.bincount(row, part[:, c], minlength=n)
+                w = base + _by_group(part, row, m)
             if half == 0:
-                total = np.stack([np.bincount(doc, part[:, c], minlength=docs) for c in range(k)], axis=1) if docs else mixture
-                mixture = (total + 0.1) / (total + 0.1).sum(axis=1, keepdims=True) if docs else mixture
-        # without any anchored term bincount would count in whole numbers
-        by_sentence = np.stack([np.bincount(row, part[:, c], minlength=n) for c in range(k)], axis=1).astype(float) if n else np.zeros((0, k))
-        return place, part[:, :k], by_sentence
+                total = _by_group(w[:, :k] - base[:, :k], document, portion.documents) + 0.1
+                mixture = total / total.sum(axis=1, keepdims=True)
+        by_sentence = np.zeros((n, k))
+        by_sentence[some] = w[:, :k] - base[:, :k]
+        share = w / w.sum(axis=1, keepdims=True)
+        divergence = -np.log(np.maximum((share[row] * h).sum(axis=1), 1e-300)).sum()
+        return place, part, by_sentence, float(divergence)
 
 
 def _priors(total: Row, subjects: int) -> dict[str, np.ndarray] | None:
@@ -199,47 +259,167 @@ def _anchored(counted: pd.DataFrame, priors: dict[str, np.ndarray], subjects: in
     return pd.DataFrame(out | {"best": best, "chance": shared[np.arange(len(c)), best], "told": told, "every": every})[some]
 
 
-def _sums(subjects: int) -> list:
-    names = [*[f"{letter}{i}" for letter in "cd" for i in range(subjects)], "n"]
+def _sums(names: list[str]) -> list:
     return [F.sum(name).alias(name) for name in names]
 
 
 def _weights(passed: DataFrame, subjects: int) -> DataFrame:
-    """(term, w) of the anchored terms: their weights in every subject and in what all share."""
+    """(term, w) of the anchored terms: their weights in every subject and in what all share, to begin with."""
     # a term that is often without any other of its subject, unlike most anchored ones of it, has another use as well
-    rates = passed.where("chance < 0.1").groupBy("best").agg(F.percentile_approx(F.col("told") / F.col("every"), 0.5, 100_000).alias("usual"))
-    usual = {r["best"]: r["usual"] for r in rates.collect()}
+    rate = F.when(F.col("chance") < 0.1, F.col("told") / F.col("every"))
+    sums = [F.sum(name).alias(name) for name in [*[f"e{i}" for i in range(subjects)], "every"]]
+    rows = passed.groupBy("best").agg(F.percentile_approx(rate, 0.5, 100_000).alias("usual"), *sums).collect()  # one per subject
+    usual = {r["best"]: 1.0 if r["usual"] is None else r["usual"] for r in rows}
     by_subject = F.array(*[F.lit(float(max(usual.get(i, 1.0), 1e-6))) for i in range(subjects)])
     other = F.col("chance") * F.col("told") + F.greatest(F.col("every") - F.col("told") / by_subject[F.col("best")], F.lit(0.0))
-    sums = passed.agg(*[F.sum(f"e{i}").alias(f"e{i}") for i in range(subjects)], F.sum("every").alias("every")).first()
-    scale = [max(sums[f"e{i}"] or 0.0, 1e-12) for i in range(subjects)]
-    parts = [*[F.col(f"e{i}") / scale[i] for i in range(subjects)], other / max(sums["every"] or 0.0, 1.0)]
+    scale = [max(sum(r[f"e{i}"] for r in rows), 1e-12) for i in range(subjects)]
+    parts = [*[F.col(f"e{i}") / scale[i] for i in range(subjects)], other / max(sum(r["every"] for r in rows), 1.0)]
     return passed.select("term", F.array(*parts).alias("w"))
 
 
-def _own(portion: pd.DataFrame, subjects: int) -> Weights:
+def _table(terms: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Sums by distinct term; the null term stands for all of a portion."""
+    arrays = [pa.array(np.append(terms, 0), pa.int64(), mask=np.arange(len(terms) + 1) == len(terms))]
+    return pa.RecordBatch.from_arrays(arrays + [pa.array(np.asarray(v, float)) for v in columns.values()], ["term", *columns])
+
+
+def _summed(codes: np.ndarray, n: int, values: np.ndarray) -> list[np.ndarray]:
+    return [np.bincount(codes, values[:, i], minlength=n).astype(float) for i in range(values.shape[1])]
+
+
+def _with_own(corpus: DataFrame, table: DataFrame) -> DataFrame:
+    """The corpus with, beside each text, its anchored terms and their weights, joined by shuffles on the term and on the
+    text; equal texts are looked up once."""
+    each = corpus.select("d1", "d2", F.explode("terms").alias("term")).distinct()
+    by_text = each.join(table, "term").groupBy("d1", "d2").agg(F.collect_list(F.struct("term", "w")).alias("own"))
+    return corpus.join(by_text.select("d1", "d2", F.expr("own.term as own"), F.expr("flatten(own.w) as own_w")), ["d1", "d2"], "left")
+
+
+def _own(batch: pa.RecordBatch, subjects: int) -> Weights:
     """The weights that the documents of a portion bring with them."""
-    known = {}
-    for terms, w in zip(portion["terms"], portion["w"], strict=True):
-        if terms is not None:
-            known.update(zip(terms, np.asarray(w, float).reshape(-1, subjects + 1), strict=True))
-    return Weights(subjects, list(known), np.asarray(list(known.values()), float).reshape(-1, subjects + 1))
+    terms = batch.column("own").flatten().to_numpy(zero_copy_only=False)
+    values = batch.column("own_w").flatten().to_numpy(zero_copy_only=False).reshape(-1, subjects + 1)
+    terms, first = np.unique(terms, return_index=True)
+    return Weights(subjects, terms, values[first])
+
+
+class Factorisation:
+    """The passes over a split corpus for one set of subjects."""
+
+    def __init__(self, corpus: DataFrame, subjects: int) -> None:
+        self.corpus, self.subjects, self.spark = corpus, subjects, corpus.sparkSession
+        self.counts = [*[f"{letter}{i}" for letter in "cd" for i in range(subjects)], "n"]
+        self.divergences: list[float] = []
+
+    def fed(self, table: DataFrame) -> tuple[DataFrame, Callable]:
+        """Documents for a pass, and what gives each portion of them with its weights. The weights of few terms go to the
+        workers by the driver; those of more stay a table."""
+        k, corpus, shared = self.subjects, self.corpus, None
+        few = table.limit(MOST_TERMS + 1).toPandas()  # only to see whether they are few; more stay a table, all of them
+        if len(few) <= MOST_TERMS:
+            shared = self.spark.sparkContext.broadcast((k, few["term"].to_numpy(np.int64), np.asarray(few["w"].tolist(), float).reshape(-1, k + 1)))
+        else:
+            corpus = _with_own(corpus, table)
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Portion, Weights]]:
+            h = Weights(*shared.value) if shared is not None else None
+            for portion in Portion.each(batches):
+                yield portion, h or _own(portion.batch, k)
+
+        return corpus, read
+
+    def summed(self, of: DataFrame, run: Callable, names: list[str]) -> tuple[DataFrame, Row]:
+        """Sums by term, and those of the null term."""
+        by = durable(of.mapInArrow(run, "term long, " + ", ".join(f"{n} double" for n in names)).groupBy("term").agg(*_sums(names)))
+        return by.where("term is not null"), by.where("term is null").agg(*_sums(names)).first()
+
+    def labelled(self, of: DataFrame) -> tuple[DataFrame, Row]:
+        """Counts of terms in documents by their given subjects (column s, null for none)."""
+        k, names = self.subjects, self.counts
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for portion in Portion.each(batches):
+                given = portion.batch.column("s")
+                share = np.zeros((portion.documents, k))
+                document = np.repeat(np.arange(portion.documents), given.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                np.add.at(share, (document, given.flatten().to_numpy(zero_copy_only=False)), 1)
+                share /= np.maximum(share.sum(axis=1, keepdims=True), 1)
+                # each term once in a document
+                pairs = np.unique(np.stack([portion.document[portion.sentence], portion.terms]), axis=1)
+                terms, codes = np.unique(pairs[1], return_inverse=True)
+                by = [np.append(v, s) for v, s in zip(_summed(codes, len(terms), share[pairs[0]]), share.sum(axis=0), strict=True)]
+                each = np.append(np.bincount(codes, minlength=len(terms)), portion.documents)
+                yield _table(terms, dict(zip(names, [*by, *by, each], strict=True)))
+
+        return self.summed(of, run, names)
+
+    def recounted(self, table: DataFrame) -> tuple[DataFrame, Row]:
+        """Counts of terms by the subject of the rest of their sentence (c) and of the rest of their document (d)."""
+        k, names = self.subjects, self.counts
+        fed, read = self.fed(table)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for portion, h in read(batches):
+                place, part, by_sentence, _ = h.explain(portion)
+                on = by_sentence.max(axis=1) >= ON_SUBJECT
+                subject = np.where(on, by_sentence.argmax(axis=1), -1)
+                rest = subject[portion.sentence]
+                without = by_sentence[portion.sentence[place]] - part[:, :k]
+                rest[place] = np.where(without.max(axis=1) >= ON_SUBJECT, without.argmax(axis=1), -1) if len(place) else rest[place]
+                is_on = np.zeros((len(subject), k))
+                is_on[np.flatnonzero(on), subject[on]] = 1
+                others = _by_group(is_on, portion.document, portion.documents)[portion.document] - is_on
+                others /= np.maximum(others.sum(axis=1, keepdims=True), 1)
+                terms, codes = np.unique(portion.terms, return_inverse=True)
+                told = rest >= 0
+                in_rest = np.bincount(codes[told] * k + rest[told], minlength=len(terms) * k).reshape(-1, k)
+                c = [np.append(in_rest[:, i], s) for i, s in enumerate(is_on.sum(axis=0))]
+                d = [np.append(v, s) for v, s in zip(_summed(codes, len(terms), others[portion.sentence]), others.sum(axis=0), strict=True)]
+                each = np.append(np.bincount(codes, minlength=len(terms)), len(portion.sizes))
+                yield _table(terms, dict(zip(names, [*c, *d, each], strict=True)))
 
+        return self.summed(fed, run, names)
 
-def _with_own(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """Documents with the anchored terms of their texts and these terms' weights, joined by shuffles on the term and on the
-    text's digest; equal texts are looked up once."""
+    def anchors(self, counted: DataFrame, priors: dict[str, np.ndarray], least_z: float, least: int, lift: float = LIFT) -> DataFrame:
+        """(term, w) of the terms that counts anchor, with their weights to begin with."""
+        k = self.subjects
 
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in (p for b in batches for p in _portions(b)):
-            own = [sorted({x for one in sentences(t) for x in one}) for t in batch["t"]]
-            digests = np.repeat(batch["h"].to_numpy(dtype=object), [len(x) for x in own])
-            yield pd.DataFrame({"h": digests, "term": np.asarray([x for one in own for x in one], dtype=object)})
+        def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield _anchored(batch, priors, k, least_z, least, lift)
 
-    keyed = docs.withColumn("h", F.md5("t"))
-    found = keyed.select("h", "t").mapInPandas(pairs, "h string, term string").distinct().join(table, "term")
-    by_text = found.groupBy("h").agg(F.collect_list(F.struct("term", "w")).alias("own"))
-    return keyed.join(by_text.select("h", F.expr("own.term as terms"), F.expr("flatten(own.w) as w")), "h", "left").drop("h")
+        excess = ", ".join(f"e{i} double" for i in range(k))
+        passed = durable(counted.mapInPandas(test, f"term long, {excess}, best int, chance double, told double, every double"))
+        return _weights(passed, k)
+
+    def updated(self, table: DataFrame) -> tuple[DataFrame, float]:
+        """One alternating round: the sentences' weights under the terms', then the terms' by the multiplicative rule, and the
+        divergence that the old ones had. A weight of nothing stays so, so anchors are kept."""
+        k = self.subjects
+        names = [*[f"m{i}" for i in range(k + 1)], "divergence"]
+        fed, read = self.fed(table)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for portion, h in read(batches):
+                place, part, _, divergence = h.explain(portion)
+                terms, codes = np.unique(portion.terms[place], return_inverse=True)
+                m = [np.append(v, v.sum()) for v in _summed(codes, len(terms), part)]
+                yield _table(terms, dict(zip(names, [*m, np.append(np.zeros(len(terms)), divergence)], strict=True)))
+
+        by, total = self.summed(fed, run, names)
+        # a column's scale goes with its weights in the sentences; what all share is measured against everything that is explained
+        sums = [total[f"m{i}"] or 0.0 for i in range(k + 1)]
+        scale = [max(v, 1e-12) for v in [*sums[:k], sum(sums)]]
+        return by.select("term", F.array(*[F.col(f"m{i}") / scale[i] for i in range(k + 1)]).alias("w")), total["divergence"] or 0.0
+
+    def settled(self, table: DataFrame) -> DataFrame:
+        """Rounds until the divergence stops falling; their divergences are kept in order."""
+        while True:
+            after, divergence = self.updated(table)
+            self.divergences.append(divergence)
+            if len(self.divergences) > 1 and divergence >= (1 - TOLERANCE) * self.divergences[-2]:
+                return table
+            table = after
 
 
 def subject_shares(
@@ -256,107 +436,43 @@ def subject_shares(
     spark, k = documents.sparkSession, len(subjects)
     bounded_batches(spark)
     kind = documents.schema[doc_key].dataType.simpleString()
-    columns = ", ".join(f"{letter}{i} double" for letter in "cd" for i in range(k)) + ", n double"
     docs = documents.select(F.col(doc_key).alias("k"), F.col(text).cast("string").alias("t")).where("t is not null")
     position = F.array_position(F.array(*[F.lit(s.strip().lower()) for s in subjects]), F.lower(F.trim(F.col(label)))) - 1
     named = labels.select(F.col(label_key).alias("k"), position.cast("int").alias("s")).where("k is not null and s >= 0").distinct()
     given = named.groupBy("k").agg(F.collect_set("s").alias("s"))
 
-    def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in (p for b in batches for p in _portions(b)):
-            terms, rows = [], []
-            for t, s in zip(batch["t"], batch["s"], strict=True):
-                own = {x for one in sentences(t) for x in one}
-                if own:
-                    one = np.bincount(np.asarray(s), minlength=k) / len(s) if s is not None else np.zeros(k)
-                    terms += [*own, ""]  # the empty term counts documents
-                    rows += [one] * (len(own) + 1)
-            values = np.asarray(rows).reshape(-1, k)
-            yield partial(terms, values, values, np.ones(len(terms)))
-
-    def partial(terms: list[str], by_sentence: np.ndarray, by_document: np.ndarray, each: np.ndarray) -> pd.DataFrame:
-        codes, unique = pd.factorize(np.asarray(terms, dtype=object))
-        sums = {f"{letter}{i}": np.bincount(codes, v[:, i], minlength=len(unique)) for letter, v in (("c", by_sentence), ("d", by_document)) for i in range(k)}
-        sums["n"] = np.bincount(codes, each, minlength=len(unique))
-        return pd.DataFrame({"term": np.asarray(unique, dtype=object)} | sums)
-
-    def summed(of: DataFrame, run) -> tuple[DataFrame, dict[str, np.ndarray] | None]:
-        by = durable(of.mapInPandas(run, f"term string, {columns}").groupBy("term").agg(*_sums(k)))
-        return by.where("term != ''"), _priors(by.where("term = ''").agg(*_sums(k)).first(), k)
-
-    def anchored(by: DataFrame, priors: dict[str, np.ndarray], least_z: float, least: int, lift: float = LIFT) -> tuple:
-        """Documents, and what gives each portion of them with its weights."""
-
-        def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield _anchored(batch, priors, k, least_z, least, lift)
-
-        excess = ", ".join(f"e{i} double" for i in range(k))
-        passed = durable(by.mapInPandas(test, f"term string, {excess}, best int, chance double, told double, every double"))
-        table = _weights(passed, k)
-        shared = None
-        if passed.count() <= MOST_TERMS:
-            few = table.toPandas()
-            shared = spark.sparkContext.broadcast((k, few["term"].tolist(), np.asarray(few["w"].tolist(), float).reshape(-1, k + 1)))
-
-        def read(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, Weights]]:
-            h = Weights(*shared.value) if shared is not None else None
-            for portion in (p for b in batches for p in _portions(b)):
-                yield portion, h or _own(portion, k)
-
-        return (docs if shared is not None else _with_own(docs, table)), read
-
-    by, priors = summed(docs.join(given, "k"), seeds)
+    corpus = durable(split_corpus(docs))
+    f = Factorisation(corpus, k)
+    lift = LIFT
+    by, total = f.labelled(corpus.join(given, "k"))
+    priors = _priors(total, k)
     if priors is not None and len(priors["c"]) > k:
         # a lone subject begins with what its labelled documents have beyond all the others; these may be on it as well, so by any multiple
-        by, priors = summed(docs.join(given, "k", "left"), seeds)
-        lift = 0.0
-    else:
-        lift = LIFT
+        by, total = f.labelled(corpus.join(given, "k", "left"))
+        priors, lift = _priors(total, k), 0.0
     if priors is None:
         return spark.createDataFrame([], f"{doc_key} {kind}, subject string, sentences long, share double")
-    fed, read = anchored(by, priors, ANCHOR_Z[0], LEAST[0], lift)
+    table = f.anchors(by, priors, ANCHOR_Z[0], LEAST[0], lift)
     for least_z, least in zip(ANCHOR_Z[1:], LEAST[1:], strict=True):
-
-        def recount(batches: Iterator[pd.DataFrame], read=read) -> Iterator[pd.DataFrame]:
-            for batch, h in read(batches):
-                terms, sentence, document, sizes = _flat(batch["t"])
-                place, part, by_sentence = h.explain(terms, sentence, document, sizes)
-                if not len(terms):
-                    continue
-                rest = by_sentence[sentence]
-                rest[place] -= part
-                in_rest = np.zeros((len(terms), k))
-                clear = np.flatnonzero(rest.max(axis=1) >= ON_SUBJECT)
-                in_rest[clear, rest[clear].argmax(axis=1)] = 1
-                on = by_sentence.max(axis=1) >= ON_SUBJECT
-                is_on = np.zeros_like(by_sentence)
-                is_on[np.flatnonzero(on), by_sentence[on].argmax(axis=1)] = 1
-                others = np.zeros((int(document.max()) + 1, k))
-                np.add.at(others, document, is_on)
-                others = others[document] - is_on
-                others /= np.maximum(others.sum(axis=1, keepdims=True), 1)
-                every = is_on.sum(axis=0)[None, :]
-                each = np.append(np.ones(len(terms)), len(sizes))
-                yield partial([*terms, ""], np.concatenate([in_rest, every]), np.concatenate([others[sentence], others.sum(axis=0)[None, :]]), each)
-
-        by, priors = summed(fed, recount)
+        by, total = f.recounted(table)
+        priors = _priors(total, k)
         if priors is not None:
-            fed, read = anchored(by, priors, least_z, least)
+            table = f.anchors(by, priors, least_z, least)
+    fed, read = f.fed(f.settled(table))
     names = np.asarray(subjects, dtype=object)
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, h in read(batches):
-            terms, sentence, document, sizes = _flat(batch["t"])
-            by_sentence = h.explain(terms, sentence, document, sizes)[2]
-            on = np.flatnonzero(by_sentence.max(axis=1) >= ON_SUBJECT) if len(sizes) else np.zeros(0, np.int64)
-            counts = np.zeros((len(batch), k), np.int64)
-            np.add.at(counts, (document[on], by_sentence[on].argmax(axis=1)), 1)
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for portion, h in read(batches):
+            by_sentence = h.explain(portion)[2]
+            on = np.flatnonzero(by_sentence.max(axis=1) >= ON_SUBJECT)
+            counts = np.zeros((portion.documents, k), np.int64)
+            np.add.at(counts, (portion.document[on], by_sentence[on].argmax(axis=1)), 1)
             d, s = np.nonzero(counts)
             share = counts[d, s] / counts.sum(axis=1)[d]
-            yield pd.DataFrame({"k": batch["k"].to_numpy()[d], "subject": names[s], "sentences": counts[d, s], "share": share})
+            key = portion.batch.column("k").take(pa.array(d))
+            yield pa.RecordBatch.from_arrays([key, pa.array(names[s], pa.string()), pa.array(counts[d, s]), pa.array(share)], ["k", "subject", "sentences", "share"])
 
-    out = fed.mapInPandas(assign, f"k {kind}, subject string, sentences long, share double")
+    out = fed.mapInArrow(assign, f"k {kind}, subject string, sentences long, share double")
     return out.select(F.col("k").alias(doc_key), "subject", "sentences", "share")
 
 

@@ -135,3 +135,18 @@ def test_any_number_of_terms(spark, monkeypatch):
     free = rows()
     monkeypatch.setattr("groundwork.llm.subjects.MOST_TERMS", 5)
     assert rows() == free and len({r[1] for r in free}) == 3
+
+
+def test_the_divergence_falls_until_it_stops(spark, monkeypatch):
+    from groundwork.llm import subjects
+
+    made = []
+    start = subjects.Factorisation.__init__
+    monkeypatch.setattr(subjects.Factorisation, "__init__", lambda self, *a: made.append(self) or start(self, *a))
+    monkeypatch.setattr(subjects, "TOLERANCE", 1e-4)
+    rng, names = random.Random(6), sorted(SUBJECTS)
+    docs, truth = sized(names, [3, 2, 1], 600, rng)
+    labels = [(d, rng.choice(names) if rng.random() < 0.1 else t) for d in range(0, 600, 3) for t in truth[d]]
+    assert accuracy(spark, docs, truth, labels, names) > 0.95
+    found = made[0].divergences
+    assert len(found) > 1 and all(b <= a * (1 + 1e-3) for a, b in zip(found, found[1:], strict=False))
