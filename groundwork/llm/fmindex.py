@@ -88,9 +88,9 @@ class WaveletMatrix:
         return self._down(symbol, at) - self.first[symbol]
 
 
-def _sorted(body: np.ndarray, width: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, rank, less): suffixes in order of their first span symbols, their ranks by these, and ranks by the first
-    span - 1. body: symbols of width bits, a lowest one at the end."""
+def _sorted(body: np.ndarray, width: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, apart): suffixes in order of their first span symbols, and of each whether it differs from the one before within
+    the first span - 1. body: symbols of width bits, a lowest one at the end."""
     n = len(body)
 
     def behind(values: np.ndarray, by: int) -> np.ndarray:
@@ -98,28 +98,25 @@ def _sorted(body: np.ndarray, width: int, span: int) -> tuple[np.ndarray, np.nda
         out[: max(0, n - by)] = values[by:]
         return out
 
-    # as many symbols as 62 bits hold make the first key
+    def ranked(key: np.ndarray) -> np.ndarray:
+        order = np.argsort(key)
+        ordered = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[1], np.cumsum(ordered[1:] != ordered[:-1]) + 1])
+        return rank
+
+    # as many symbols as 62 bits hold make the first key; then every sort doubles what is told apart
     key, depth = body.astype(np.int64), 1
     while depth * 2 <= span - 1 and depth * 2 * width <= 62:
         key = (key << (depth * width)) | behind(key, depth)
         depth *= 2
-
-    def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(key)
-        ordered = key[order]
-        rank = np.zeros(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        return order, rank
-
-    order, rank = ranked(key)
+    rank = ranked(key)
     while depth * 2 <= span - 1:
-        order, rank = ranked(rank * (n + 1) + behind(rank + 1, depth))
+        rank = ranked(rank * (n + 1) + behind(rank, depth))
         depth *= 2
-    less = rank
-    if depth < span - 1:
-        order, less = ranked(rank * (n + 1) + behind(rank + 1, span - 1 - depth))
-    order, rank = ranked(less * (n + 1) + behind(rank + 1, span - depth))
-    return order, rank, less
+    order = np.argsort(rank * (n + 1) + behind(rank, span - depth))
+    first, second = rank[order], behind(rank, span - 1 - depth)[order]
+    return order, np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
 
 
 class FMIndex:
@@ -147,10 +144,9 @@ class FMIndex:
         body[inside] = np.searchsorted(self.alphabet, joined) + 2
         body[-1] = 0
         self.body = body  # the texts that are streamed; the index doesn't need them
-        order, _, less = _sorted(body, width, span)
+        order, apart = _sorted(body, width, span)
         text = np.append(np.repeat(np.arange(len(texts)), lengths + 1), -1)[order]
-        less = less[order]
-        self.apart = Bits(np.concatenate([[True], less[1:] != less[:-1]])).with_neighbours()
+        self.apart = Bits(apart).with_neighbours()
         who = np.where(text >= 0, owner[text] if len(texts) else 0, -1)
         self.turns = Bits(np.concatenate([[False], who[1:] != who[:-1]]))
         self.several = Bits((text >= 0) & (several[text] if len(texts) else False))
