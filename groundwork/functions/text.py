@@ -42,13 +42,13 @@ def prosiness_of(passage: str, t: str) -> str:
     )
 
 
-def _trim(text: str) -> str:
+def trimmed(text: str) -> str:
     return f"regexp_replace({text}, {q('^' + L.SPACE + '+|' + L.SPACE + '+$')}, '')"
 
 
 def fragment_ratio(passage: str) -> str:
     """The share of lines that are short and don't end a sentence."""
-    lines = f"filter(transform(split({passage}, '\\n+'), x -> {_trim('x')}), x -> length(x) > 1)"
+    lines = f"filter(transform(split({passage}, '\\n+'), x -> {trimmed('x')}), x -> length(x) > 1)"
     short = f"filter(ls, x -> length(x) < 90 and not x rlike {q('[.!?][' + chr(34) + chr(39) + ')' + chr(92) + ']]*$')})"
     return f"transform(array({lines}), ls -> case when size(ls) = 0 then 0D else size({short}) / size(ls) end)[0]"
 
@@ -76,7 +76,7 @@ def plan_fingerprint(question: str) -> str:
 
 def search_query(question: str) -> str:
     plain = f"regexp_replace(regexp_replace({question}, {q(L.POLITE)}, ''), {q(L.SPACE + '+')}, ' ')"
-    return f"left({_trim(plain)}, 300)"
+    return f"left({trimmed(plain)}, 300)"
 
 
 def broadened(question: str) -> str:
@@ -97,16 +97,16 @@ def refusal(sentence: str) -> str:
 def shape(sentence: str) -> str:
     """The structural shape of a sentence; the first that matches."""
     s = f"coalesce({sentence}, '')"
-    tests = {name: f"{s if name in ('list_item', 'formula_or_spec', 'quotation_fragment') else _trim(s)} rlike {q(p)}" for name, p in L.SHAPES.items()}
+    tests = {name: f"{s if name in ('list_item', 'formula_or_spec', 'quotation_fragment') else trimmed(s)} rlike {q(p)}" for name, p in L.SHAPES.items()}
     tests["evidence_gap_disclosure"] = f"({absence_claim(s)} or {s} rlike {q(L.SHAPES['evidence_gap_disclosure'])})"
-    tests["quotation_fragment"] += f" and not {_trim(s)} rlike {q('^[' + chr(34) + '“]')}"
+    tests["quotation_fragment"] += f" and not {trimmed(s)} rlike {q('^[' + chr(34) + '“]')}"
     return "case " + " ".join(f"when {t} then '{n}'" for n, t in tests.items()) + " else 'continuation_prose' end"
 
 
 def names_subject(question: str) -> str:
     """Whether a question names what it's about: a capitalised word that isn't only the first, a digit, a joined or a quoted term."""
-    first = f"split({_trim(question)}, {q(L.SPACE + '+')})[0]"
-    rest = f"regexp_replace({_trim(question)}, {q('^[^' + L.SPACE[1:-1] + ']*')}, '')"
+    first = f"split({trimmed(question)}, {q(L.SPACE + '+')})[0]"
+    rest = f"regexp_replace({trimmed(question)}, {q('^[^' + L.SPACE[1:-1] + ']*')}, '')"
     return (
         f"(({first} rlike '^[A-Z][a-zA-Z]{{2,}}' and not {first} rlike {q(L.OPENER_WORD)}) or {rest} rlike '[A-Z][a-zA-Z]{{2,}}' or {question} rlike '[0-9]'"
         f" or {question} rlike '(?i)[a-z]+[-.][a-z]+' or {question} rlike {q('[' + chr(34) + chr(39) + '][^' + chr(34) + chr(39) + ']{4,}[' + chr(34) + chr(39) + ']')})"
@@ -115,7 +115,7 @@ def names_subject(question: str) -> str:
 
 def question_kind(question: str, mode: str, space: str, has_documents: str, turns: str) -> str:
     """The route of a question: explicit choices first, then what leans on the conversation, then what stands on its own."""
-    t = f"coalesce({_trim(question)}, '')"
+    t = f"coalesce({trimmed(question)}, '')"
     named = names_subject(t)
     words = f"size(filter(split({t}, {q(L.SPACE + '+')}), w -> w != ''))"
     memory = " or ".join(f"{t} rlike {q(p)}" for p in L.MEMORY_INSTRUCTION)
@@ -129,18 +129,18 @@ def question_kind(question: str, mode: str, space: str, has_documents: str, turn
 
 def memory_content(text: str) -> str:
     """What an instruction to remember asks to keep; null if that is nothing or a fragment."""
-    t = _trim(text)
+    t = trimmed(text)
     colon = f"regexp_replace({t}, '^[^:]{{0,80}}:[ \\n\\r\\t]*', '')"
     bare = f"regexp_replace({t}, {q(L.IMPERATIVE)}, '')"
     imperative = f"{t} rlike {q(L.IMPERATIVE)} and not {t} rlike {q(L.MEMORY_INSTRUCTION[3])}"
-    content = f"case when {imperative} then case when {colon} != {t} and {_trim(colon)} != '' then {colon} else {bare} end else {t} end"
-    tidy = f"regexp_replace({_trim(f'regexp_replace({content}, {q(L.SPACE + chr(43))}, {q(chr(32))})')}, '^[,:;-][ ]*', '')"
+    content = f"case when {imperative} then case when {colon} != {t} and {trimmed(colon)} != '' then {colon} else {bare} end else {t} end"
+    tidy = f"regexp_replace({trimmed(f'regexp_replace({content}, {q(L.SPACE + chr(43))}, {q(chr(32))})')}, '^[,:;-][ ]*', '')"
     return f"case when length({tidy}) < 3 or (length({tidy}) < 12 and not {tidy} like '% %') then null else {tidy} end"
 
 
 def usable_rewrite(text: str) -> str:
     """The first line of a rewritten question without quotes around; null if it's empty, long or chatty."""
-    line = _trim(f"split(regexp_replace({_trim(text)}, {q('^[' + chr(34) + chr(39) + '`]|[' + chr(34) + chr(39) + '`]$')}, ''), '\\n')[0]")
+    line = trimmed(f"split(regexp_replace({trimmed(text)}, {q('^[' + chr(34) + chr(39) + '`]|[' + chr(34) + chr(39) + '`]$')}, ''), '\\n')[0]")
     return f"case when {line} = '' or length({line}) > 300 or {line} rlike {q(L.CHATTY)} then null else {line} end"
 
 
@@ -165,6 +165,6 @@ def pages(text: str, size: int = 3000) -> str:
     """array<struct<page, label, text>>: slices of a flat text, one page even if it's empty."""
     flat = f"regexp_replace(regexp_replace(replace(coalesce({text}, ''), '\\r\\n', '\\n'), '[ \\t]+', ' '), '\\n{{3,}}', '\\n\\n')"
     return (
-        f"transform(array({_trim(flat)}), t -> transform(sequence(0, greatest(0, cast(ceil(length(t) / {size}D) as int) - 1)), i -> "
+        f"transform(array({trimmed(flat)}), t -> transform(sequence(0, greatest(0, cast(ceil(length(t) / {size}D) as int) - 1)), i -> "
         f"named_struct('page', i + 1, 'label', concat('section ', i + 1), 'text', substr(t, i * {size} + 1, {size}))))[0]"
     )

@@ -30,12 +30,20 @@ def canonical(url: str) -> str:
     return f"case when {url} rlike '(?i)^https?://[^/?#]+' then concat({scheme}, {where}, case when {rest} = '' then '/' else {rest} end, {asked}) end"
 
 
-def publisher(url: str) -> str:
-    """The registrable domain: the longest known suffix and one label more."""
+def read_suffixes(path: str) -> str:
+    """The suffixes of two labels in a file of public suffixes: one a line, // begins a comment. Rules with * or ! are left out."""
+    with open(path, encoding="utf-8") as f:
+        lines = (line.split("//")[0].strip().lower() for line in f)
+        return " ".join(sorted({line for line in lines if line.count(".") == 1 and not set(line) & set("*!")}))
+
+
+def publisher(url: str, suffixes: str = SUFFIXES) -> str:
+    """The registrable domain: the longest known suffix and one label more. suffixes: those of two labels, as read_suffixes
+    gives them; without a file, a short list."""
     labels = f"split({domain(url)}, '\\\\.')"
     two = f"array_join(slice({labels}, -2, 2), '.')"
     three = f"array_join(slice({labels}, -3, 3), '.')"
-    known = L.spark_words(SUFFIXES)
+    known = L.spark_words(suffixes)
     return f"case when size({labels}) < 2 then {domain(url)} when size({labels}) > 2 and array_contains({known}, {two}) then {three} else {two} end"
 
 

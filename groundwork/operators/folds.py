@@ -149,35 +149,98 @@ def job_lease(lease_s: float, attempts: int) -> Step:
     return step
 
 
-def memory_upsert(most: int = 200) -> Step:
-    """inputs (text, us): inserted, hits. A text is known by its form in lower case; beyond most memories the least used and
-    then the longest unused goes."""
+def memory_upsert(most: int = 200, near: float | None = None) -> Step:
+    """inputs (text, us), with near also (places, weights) of a sparse unit vector: inserted, hits. A text is known by its
+    trimmed form in lower case, or, with near, by a vector whose cosine is above it: the nearest is hit. A new one begins
+    without hits. Beyond most memories the least hit and then the longest unseen go, the new one as well as others. A blank
+    text is none: not inserted, no hits."""
 
     def step(state: dict, row: tuple) -> tuple:
-        text, us = row
+        text, us, *vector = row
         known = state.setdefault("known", {})
-        digest = hashlib.sha256(text.lower().encode()).hexdigest()
-        hits, _ = known.get(digest, (0, 0))
-        known[digest] = (hits + 1, us)
-        if len(known) > most:
-            del known[min((d for d in known if d != digest), key=lambda d: known[d])]
-        return hits == 0, hits + 1
+        plain = (text or "").strip().lower()
+        if not plain:
+            return False, None
+        digest = hashlib.sha256(plain.encode()).hexdigest()
+        own = dict(zip(vector[0], vector[1], strict=True)) if near is not None and vector[0] is not None else {}
+        hit = digest if digest in known else None
+        if hit is None and own:
+            scored = [(sum(w * own.get(i, 0.0) for i, w in other.items()), d) for d, (_, _, other) in known.items() if other]
+            best = max(scored, key=lambda x: x[0], default=(0.0, None))
+            hit = best[1] if best[0] > near else None
+        if hit is not None:
+            hits, _, other = known[hit]
+            known[hit] = (hits + 1, us, other)
+            return False, hits + 1
+        known[digest] = (0, us, own)
+        while len(known) > most:
+            del known[min(known, key=lambda d: known[d][:2])]
+        return True, 0
 
     return step
 
 
-def slot_borrowing(total: int, own: int, reserve: int) -> Step:
-    """inputs (branch,): granted, borrowed. A branch takes its own slots first, then what the others and the reserve leave."""
+def slot_borrowing(total: int, allocations: dict, reserve: int) -> Step:
+    """inputs (branch,): granted, borrowed. Every branch of allocations is registered and active from the start. A branch takes
+    its own slots first; beyond them it may borrow what the pool leaves once all that is still owed to the other branches,
+    begun or not, and the reserve are kept back."""
 
     def step(state: dict, row: tuple) -> tuple:
         (branch,) = row
-        used = state.setdefault("used", {})
-        mine = used.get(branch, 0)
-        claimed = sum(used.values())
-        unspent = sum(max(0, own - n) for b, n in used.items() if b != branch)
-        granted = mine < own and claimed < total or claimed + unspent + reserve < total
-        used[branch] = mine + int(granted)
-        return granted, granted and mine >= own
+        used = state.setdefault("used", dict.fromkeys(allocations, 0))
+        claimed, own = sum(used.values()), allocations.get(branch, 0)
+        mine = used.setdefault(branch, 0)
+        owed = sum(max(0, n - used[b]) for b, n in allocations.items() if b != branch)
+        within = mine < own and claimed < total
+        granted = within or total - claimed - owed - reserve > 0
+        used[branch] += int(granted)
+        return granted, granted and not within
+
+    return step
+
+
+def lru_cache(ttl_s: float, most: int) -> Step:
+    """inputs (us, entry): hit, evicted. An entry lives ttl_s after its write; a read makes it the newest; beyond most entries
+    the one that was touched longest ago goes."""
+
+    def step(state: dict, row: tuple) -> tuple:
+        us, entry = row
+        held = state.setdefault("held", {})
+        until = held.pop(entry, None)
+        hit = until is not None and us < until
+        held[entry] = until if hit else us + int(ttl_s * 1e6)
+        evicted = len(held) > most
+        if evicted:
+            del held[next(iter(held))]
+        return hit, evicted
+
+    return step
+
+
+def job_queue(lease_s: float, attempts: int) -> Step:
+    """inputs (us, event, job): claimed job, status. Of one queue: ``add`` queues a job, ``claim`` takes the oldest that is queued
+    or whose lease has lapsed, ``complete`` and ``fail`` end the job they name if it runs; a failed one is queued again until
+    its attempts are used up. A claim of a lapsed job does not use another attempt."""
+
+    def step(state: dict, row: tuple) -> tuple:
+        us, event, job = row
+        jobs = state.setdefault("jobs", {})
+        if event == "add" and job not in jobs:
+            jobs[job] = {"status": "queued", "tries": 0, "until": 0}
+        elif event == "claim":
+            job = next((j for j, s in jobs.items() if s["status"] == "queued" or (s["status"] == "running" and s["until"] <= us)), None)
+            if job is None:
+                return None, None
+            s = jobs[job]
+            s.update(status="running", until=us + int(lease_s * 1e6), tries=s["tries"] + (s["status"] == "queued"))
+            return job, "running"
+        elif event in ("complete", "fail") and jobs.get(job, {}).get("status") == "running":
+            s = jobs[job]
+            s["status"] = "completed" if event == "complete" else "queued" if s["tries"] < attempts else "failed"
+        status = jobs[job]["status"] if job in jobs else None
+        if status in ("completed", "failed"):
+            jobs[job]["until"] = 0
+        return None, status
 
     return step
 

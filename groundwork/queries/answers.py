@@ -11,6 +11,7 @@ from groundwork.plans import evidence as E
 from groundwork.plans import retrieval as R
 from groundwork.queries.retrieval import ASKED, TOP, _bm, _rk
 from groundwork.queries.text import _plan_words
+from groundwork.runtime import broadcast_if_small
 from groundwork.sources.tables import table
 
 
@@ -18,7 +19,7 @@ def _found(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
     asked = table(spark, folder, "eval_items").select("item_id", "question")
     top = R.ranked(R.bm25(docs, "doc_id", "text", asked, "item_id", "question"), "item_id", "doc_id", TOP)
-    return top.join(docs, "doc_id").join(F.broadcast(asked), "item_id").select(F.col("item_id").alias("question_id"), "question", F.col("rank").alias("n"), "doc_id", "text")
+    return top.join(docs, "doc_id").join(broadcast_if_small(asked, "question"), "item_id").select(F.col("item_id").alias("question_id"), "question", F.col("rank").alias("n"), "doc_id", "text")
 
 
 def extractive_answers(spark: SparkSession, folder: str) -> DataFrame:

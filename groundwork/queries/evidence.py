@@ -12,7 +12,6 @@ from groundwork.functions.literals import ansi_text as a
 from groundwork.functions.literals import spark_text as q
 from groundwork.operators.paths import longest_prefix
 from groundwork.plans import evidence as E
-from groundwork.queries.retrieval import _pt
 from groundwork.queries.text import _absent, _words, latest
 from groundwork.sources.tables import records, table
 
@@ -57,7 +56,10 @@ def claim_support(spark: SparkSession, folder: str) -> DataFrame:
     """Every uncited sentence against all snippets of its run: the best share of its words that one of them has."""
     claims = records(table(spark, folder, "miss_shapes"), "rec_id", "run_id", "sentence").where("sentence is not null and run_id is not null")
     sources = _grounding(spark, folder).where("snippet is not null").select(F.col("request_id").alias("run_id"), "snippet")
-    scored = claims.join(sources, "run_id").select("rec_id", F.expr(E.support("sentence", "snippet")).alias("s"))
+    # words are taken on either side once, before the join
+    claims = claims.select("rec_id", "run_id", F.expr(E.claim_words("sentence")).alias("c"))
+    sources = sources.select("run_id", F.expr(T.content_words("snippet")).alias("w"))
+    scored = claims.join(sources, "run_id").select("rec_id", F.expr("case when size(c) > 0 then size(array_intersect(c, w)) / size(c) end").alias("s"))
     return scored.groupBy("rec_id").agg(F.max("s").alias("best")).select("rec_id", F.expr("floor(best * 1000 + 0.5) / 1000").alias("best_support"))
 
 
@@ -73,7 +75,7 @@ def snippet_provenance(spark: SparkSession, folder: str) -> DataFrame:
     """Every citation's snippet sought in its document, or judged by the page's recorded match."""
     d = table(spark, folder, "documents").select(F.col("doc_id").alias("source_doc_id"), "text")
     g = _grounding(spark, folder).join(d, "source_doc_id", "left")
-    g = g.select("rec_id", "kind", "source_position", "snippet", "haystack_chars", F.expr("coalesce(longest_window, 0)").alias("lw"), F.expr(T.plain_tokens("coalesce(snippet, '')")).alias("t"), F.expr(f"array_join({T.plain_tokens(chr(99) + 'oalesce(text, ' + q('') + ')')}, ' ')").alias("hay"))
+    g = g.select("rec_id", "kind", "source_position", "snippet", "haystack_chars", F.expr("coalesce(longest_window, 0)").alias("lw"), F.expr(f"filter(split({E.spaced('coalesce(snippet, ' + q('') + ')')}, ' '), w -> w != '')").alias("t"), F.expr(E.spaced("coalesce(text, '')")).alias("hay"))
     g = g.withColumn("found", F.expr(f"coalesce({E.grounded('t', 'hay')}, false)")).withColumn("window", F.expr(f"case when kind = 'doc' then {E.longest_window('t', 'hay')} else lw end"))
     return g.select("rec_id", "found", "window", F.expr(E.provenance("kind", "found", "source_position", "haystack_chars", "window", "size(t)", "snippet")).alias("provenance"))
 
@@ -151,12 +153,13 @@ M = latest("miss_shapes", "rec_id")
 _bracketed = "[\\[][0-9, ]+[\\]]"
 _refs = f"list_distinct(flatten(list_transform(regexp_extract_all(text, {a(L.CITATION)}, 1), lambda g: list_transform(regexp_split_to_array(g, ' *, *'), lambda x: x::int))))"
 _cw = lambda t: _words(t, L.STOP_COVERAGE, 3)
+_sp = lambda t: f"trim(regexp_replace(lower({t}), {a(L.SPACE + '+')}, ' ', 'g'))"
 _found = "case when len(t) = 0 then false when len(t) <= 12 then contains(hay, array_to_string(t, ' ')) else len(list_filter(range(1, len(t) - 10), lambda i: contains(hay, array_to_string(t[i:i + 11], ' ')))) > 0 end"
 _long = "case when len(t) < 2 then 0 else coalesce(list_max(list_filter(range(2, least(12, len(t)) + 1), lambda n: len(list_filter(range(1, len(t) - n + 2), lambda i: contains(hay, array_to_string(t[i:i + n - 1], ' ')))) > 0)), 0) end"
 _prov = (
     f"(select rec_id, found, w as window_, case when kind = 'doc' then case when found then 'verified' when source_position > 5 then 'beyond_top_five' else 'locator_missed' end when coalesce(haystack_chars, 0) = 0 then 'fetch_blocked' when found or w >= 12 then 'verified' when len(t) < 12 then 'snippet_short'"
     f" when w >= 6 then case when regexp_matches(snippet, '(?i)&[a-z#0-9]+;') then 'entity' else 'token_boundary' end when haystack_chars < 2000 then 'dynamic_page' else 'page_changed' end as provenance from (select *, {_found} as found, case when kind = 'doc' then {_long} else lw end as w"
-    f" from (select rec_id, kind, source_position, snippet, haystack_chars, coalesce(longest_window, 0) as lw, {_pt('coalesce(snippet, ' + a('') + ')')} as t, array_to_string({_pt('coalesce(d.text, ' + a('') + ')')}, ' ') as hay from {G} g left join documents d on d.doc_id = g.source_doc_id)))"
+    f" from (select rec_id, kind, source_position, snippet, haystack_chars, coalesce(longest_window, 0) as lw, list_filter(string_split({_sp('coalesce(snippet, ' + a('') + ')')}, ' '), lambda w: w <> '') as t, {_sp('coalesce(d.text, ' + a('') + ')')} as hay from {G} g left join documents d on d.doc_id = g.source_doc_id)))"
 )
 _host = "regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '^www\\.', '')"
 

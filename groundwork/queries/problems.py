@@ -131,4 +131,14 @@ SQL = {
     " union all select record_id, 'phases_ms', k from (select record_id, j, unnest(json_keys(j -> 'phases_ms')) as k from rec where json_type(j -> 'phases_ms') = 'OBJECT') where json_type(j -> 'phases_ms' -> k) <> 'NULL'"
     " union all select record_id, 'by_namespace', unnest(json_keys(j -> 'cache' -> 'by_namespace')) from rec where json_type(j -> 'cache' -> 'by_namespace') = 'OBJECT'",
     "p4_tools": f"with {_RECORD} select record_id, k as child_key, v ->> 'name' as name, try_cast(v ->> 'ms' as bigint) as ms, try_cast(v ->> 'ok' as boolean) as ok, try_cast(v ->> 'cached' as boolean) as cached, v ->> 'summary' as summary from {_TOOLS}",
+    "p4_attempts": f"with {_RECORD} select record_id, k || '.' || i as child_key, try_cast(e ->> 'ms' as bigint) as ms, try_cast(e ->> 'ok' as boolean) as ok, k as tool_key, case when json_type(e -> 'error') = 'OBJECT' then coalesce(e -> 'error' ->> 'message', e ->> 'error') else e ->> 'error' end as error,"
+    f" case when json_type(e -> 'error') = 'OBJECT' then try_cast(e -> 'error' ->> 'code' as int) end as code from (select record_id, k, i, v -> 'attempts' -> i::int as e from (select record_id, k, v, unnest(range(0, json_array_length(v -> 'attempts')::bigint)) as i from {_TOOLS} where json_type(v -> 'attempts') = 'ARRAY'))",
+    "p4_records": f"with {_RECORD}, c as (select record_id, child, count(*)::int as n from ("
+    + " union all ".join(f"select record_id, '{c}' as child from {_child_sql(c)}" for c in ("tools", "coverage_reasons", "warnings"))
+    + f" union all select record_id, 'attempts' from (select record_id, unnest(range(0, json_array_length(v -> 'attempts')::bigint)) from {_TOOLS} where json_type(v -> 'attempts') = 'ARRAY')"
+    " union all select record_id, 'phases_ms' from (select record_id, j, unnest(json_keys(j -> 'phases_ms')) as k from rec where json_type(j -> 'phases_ms') = 'OBJECT') where json_type(j -> 'phases_ms' -> k) <> 'NULL'"
+    " union all select record_id, 'by_namespace' from (select record_id, unnest(json_keys(j -> 'cache' -> 'by_namespace')) from rec where json_type(j -> 'cache' -> 'by_namespace') = 'OBJECT')) group by 1, 2)"
+    " select record_id, lower(trim(j ->> 'route')) as route, try_cast(j ->> 'latency_ms' as bigint) as latency_ms, try_cast(j ->> 'ttft_ms' as bigint) as ttft_ms, try_cast(j ->> 'cost_usd' as double) as cost_usd, try_cast(j -> 'phases_ms' ->> 'retrieval' as bigint) as retrieval_ms, try_cast(j -> 'sources' ->> 'cited' as bigint) as sources_cited, try_cast(j -> 'citations' ->> 'groundedness' as double) as groundedness, "
+    + ", ".join(f"coalesce((select n from c where c.record_id = rec.record_id and child = '{c.name}'), 0) as n_{c.name}" for c in CHILDREN)
+    + " from rec",
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundwork.queries import answers, evidence, problems, retrieval, state, stats, store, streams, text
+from groundwork.queries import answers, audit, evidence, problems, retrieval, state, stats, store, streams, text
 
-MODULES = [problems, text, store, stats, retrieval, evidence, state, streams, answers]
+MODULES = [problems, text, store, stats, retrieval, evidence, state, streams, answers, audit]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

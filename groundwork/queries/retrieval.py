@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from groundwork.plans import chunks as C
 from groundwork.plans import retrieval as R
 from groundwork.queries.text import _tok
+from groundwork.runtime import broadcast_if_small
 from groundwork.sources.tables import table
 
 TOP = 6
@@ -55,7 +56,7 @@ def memory_search(spark: SparkSession, folder: str) -> DataFrame:
     cos = R.cosines(R.embedded(asked, "item_id", "question"), "item_id", R.embedded(m, "doc_id", "text"), "doc_id")
     qt, mt = R.terms(asked, "item_id", "question"), R.terms(m, "doc_id", "text")
     sizes = mt.groupBy("doc_id").agg(F.count("*").alias("ms")), qt.groupBy("item_id").agg(F.count("*").alias("qs"))
-    shared = mt.select("doc_id", "term").join(F.broadcast(qt.select("item_id", "term")), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    shared = mt.select("doc_id", "term").join(broadcast_if_small(qt.select("item_id", "term"), "term"), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
     both = cos.join(shared, ["item_id", "doc_id"], "left").join(sizes[0], "doc_id").join(sizes[1], "item_id")
     overlap = F.coalesce("shared", F.lit(0)) / F.least("qs", "ms")
     scored = both.select("item_id", "doc_id", R.rounded(0.4 * F.col("score") + 0.6 * overlap).alias("score")).where("score >= 0.06")
@@ -66,7 +67,7 @@ def namespace_rank(spark: SparkSession, folder: str) -> DataFrame:
     """Nearest vectors by cosine within each namespace (label), for every vector whose id is divisible by 20."""
     v = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
     asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    pairs = v.join(F.broadcast(asked), "label").where("vec_id != query_id")
+    pairs = v.join(broadcast_if_small(asked, "q"), "label").where("vec_id != query_id")
     scored = pairs.select("query_id", "vec_id", F.expr(f"floor(({R.dense_cosine('q', 'embedding')}) * 1e6 + 0.5) / 1e6").alias("score"))
     return R.ranked(scored, "query_id", "vec_id", 10)
 
@@ -85,16 +86,16 @@ def space_scope(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def leak_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """Windows of 12 plain tokens of an anchor that a document holds, by a join on the window, never by nested search."""
+    """Windows of 12 plain tokens of an anchor that a document holds, by a join on the window's hash, never by nested search."""
     from groundwork.functions.text import plain_tokens
 
     def windows(df: DataFrame, key: str, text: str) -> DataFrame:
         w = df.select(key, F.expr(plain_tokens(text)).alias("t")).where("size(t) >= 12")
-        return w.select(key, F.explode(F.expr("array_distinct(transform(sequence(0, size(t) - 12), i -> array_join(slice(t, i + 1, 12), ' ')))")).alias("w"))
+        return w.select(key, F.explode(F.expr("array_distinct(transform(sequence(0, size(t) - 12), i -> xxhash64(array_join(slice(t, i + 1, 12), ' '))))")).alias("w"))
 
     items = windows(table(spark, folder, "eval_items"), "item_id", "anchor")
     docs = windows(_corpus(spark, folder), "doc_id", "text")
-    return docs.join(F.broadcast(items), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("windows"))
+    return docs.join(broadcast_if_small(items), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("windows"))
 
 
 def publisher_choice(spark: SparkSession, folder: str) -> DataFrame:

@@ -43,15 +43,16 @@ def store_count(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def store_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    old = _orders(spark, folder).where("o_orderkey % 3 != 0").withColumn("created_at", F.col("o_orderdate")).withColumn("updated_at", F.col("o_orderdate"))
+    """All orders, and as many changes under twice their keys: about half of these are there, the others are new."""
+    old = _orders(spark, folder).withColumn("created_at", F.col("o_orderdate")).withColumn("updated_at", F.col("o_orderdate"))
     old = old.drop("o_orderdate", "o_custkey")
-    new = _orders(spark, folder).where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.expr("case when o_orderkey % 4 = 0 then o_totalprice + 1 end").alias("o_totalprice"))
+    new = _orders(spark, folder).select(F.expr("o_orderkey * 2 as o_orderkey"), F.lit("X").alias("o_orderstatus"), F.expr("case when o_orderkey % 4 = 0 then o_totalprice + 1 end").alias("o_totalprice"))
     return store.upsert(old, new, "o_orderkey", "created_at", "updated_at", F.lit(NOW).cast("timestamp_ntz"))
 
 
 def store_patch(spark: SparkSession, folder: str) -> DataFrame:
-    old = _orders(spark, folder).where("o_orderkey % 3 != 0").select("o_orderkey", "o_orderstatus", "priority")
-    changes = _orders(spark, folder).where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("patched").alias("priority"))
+    old = _orders(spark, folder).select("o_orderkey", "o_orderstatus", "priority")
+    changes = _orders(spark, folder).select(F.expr("o_orderkey * 2 as o_orderkey"), F.concat(F.lit("patched "), "o_orderstatus").alias("priority"))
     return store.patch(old, changes, "o_orderkey")
 
 
@@ -81,8 +82,8 @@ SQL = {name: f"select o_orderkey, priority, o_totalprice from {ORDERS} where {sq
     "store_list_page": f"select o_orderkey, o_totalprice, count(*) over () as total from {ORDERS} where o_orderstatus = 'O' order by o_totalprice desc, o_orderkey limit 50 offset 20",
     "store_count": f"select count(priority) as n from {ORDERS}",
     "store_upsert": f"select coalesce(n.k, o.o_orderkey) as o_orderkey, case when n.k is null then o.o_orderstatus else 'X' end as o_orderstatus, coalesce(n.p, o.o_totalprice) as o_totalprice, o.priority, coalesce(o.o_orderdate, timestamp '{NOW}') as created_at,"
-    f" case when n.k is null then o.o_orderdate else timestamp '{NOW}' end as updated_at from (select * from {ORDERS} where o_orderkey % 3 <> 0) o full join (select o_orderkey as k, case when o_orderkey % 4 = 0 then o_totalprice + 1 end as p from orders where o_orderkey % 2 = 0) n on n.k = o.o_orderkey",
-    "store_patch": f"select o_orderkey, o_orderstatus, case when o_orderkey % 2 = 0 then 'patched' else priority end as priority from {ORDERS} where o_orderkey % 3 <> 0",
+    f" case when n.k is null then o.o_orderdate else timestamp '{NOW}' end as updated_at from {ORDERS} o full join (select o_orderkey * 2 as k, case when o_orderkey % 4 = 0 then o_totalprice + 1 end as p from orders) n on n.k = o.o_orderkey",
+    "store_patch": f"select o.o_orderkey, o.o_orderstatus, coalesce('patched ' || n.o_orderstatus, o.priority) as priority from {ORDERS} o left join orders n on n.o_orderkey * 2 = o.o_orderkey",
     "store_delete_cascade": "select 'orders' as t, count(*) as n from orders where o_orderstatus <> 'F' union all select 'lineitem', count(*) from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')",
     "store_latest_wins": "select md5(text) as digest, max(doc_id) as doc_id, arg_max(source, doc_id) as source from documents where text is not null group by 1",
     "store_owned": "select record_id, ingested_at from quick_path where user_id = 'usr_bench0'",

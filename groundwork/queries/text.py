@@ -142,7 +142,7 @@ def search_results(spark: SparkSession, folder: str) -> DataFrame:
     g = g.withColumn("clean", F.expr(U.canonical("url"))).where("clean is not null")
     first = "row_number() over (partition by request_id, clean order by source_position, rec_id)"
     g = g.withColumn("k", F.expr(first)).where("k = 1")
-    plain = T._trim(f"regexp_replace(coalesce(snippet, ''), {L.spark_text(L.SPACE + '+')}, ' ')")
+    plain = T.trimmed(f"regexp_replace(coalesce(snippet, ''), {L.spark_text(L.SPACE + '+')}, ' ')")
     return g.select("request_id", F.col("clean").alias("url"), F.expr(U.domain("clean")).alias("domain"), F.expr(f"left({plain}, 600)").alias("snippet"))
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: What an article keeps unless a caller says otherwise.
 MOST_CHARACTERS = 24_000
 LEAST_LINE = 40
 
@@ -26,7 +27,7 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.meta: dict[str, str] = {}
-        self.title, self.h1 = "", ""
+        self.title, self.h1, self.time = "", "", ""
         self.path: list[tuple[str, bool, int | None]] = []  # tag, skipped, candidate
         self.candidates: list[dict] = []
 
@@ -34,6 +35,8 @@ class _Page(HTMLParser):
         a = {k: v or "" for k, v in attrs}
         if tag == "meta":
             self.meta[(a.get("property") or a.get("name") or "").lower()] = a.get("content", "")
+        if tag == "time":
+            self.time = self.time or a.get("datetime", "")
         self._gap()
         if tag in _VOID:
             if tag in ("br", "hr"):
@@ -82,8 +85,9 @@ class _Page(HTMLParser):
                 self.candidates[c]["lines"].append("")
 
 
-def article(html: str, url: str = "") -> dict:
-    """Title, dates and the paragraphs of the densest candidate: long, and little of it in links."""
+def article(html: str, url: str = "", most: int | None = MOST_CHARACTERS) -> dict:
+    """Title, dates and the paragraphs of the densest candidate: long, and little of it in links. most: characters of the
+    text, or None for all."""
     page = _Page()
     page.feed(html or "")
     page.close()
@@ -97,20 +101,20 @@ def article(html: str, url: str = "") -> dict:
     meta = page.meta
     return {
         "title": (meta.get("og:title") or page.title or page.h1 or host).strip(),
-        "published_at": meta.get("article:published_time") or meta.get("date") or None,
-        "author": meta.get("author") or None,
+        "published_at": meta.get("article:published_time") or meta.get("date") or page.time or None,
+        "author": meta.get("author") or meta.get("article:author") or None,
         "description": meta.get("description") or meta.get("og:description") or None,
-        "text": "\n\n".join(x for x in lines if len(x) > LEAST_LINE)[:MOST_CHARACTERS],
+        "text": "\n\n".join(x for x in lines if len(x) > LEAST_LINE)[:most],
     }
 
 
-def articles(pages: DataFrame, key: str, html: str, url: str) -> DataFrame:
-    """(key, SCHEMA) of every page with HTML; parsing runs in Python by Arrow batches, without a shuffle."""
+def articles(pages: DataFrame, key: str, html: str, url: str, most: int | None = MOST_CHARACTERS) -> DataFrame:
+    """(key, SCHEMA) of every page with HTML, the text of at most so many characters, or all of it with None; parsing runs in Python by Arrow batches, without a shuffle."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [{"k": k} | article(h, u or "") for k, h, u in zip(batch["k"], batch["h"], batch["u"], strict=True)]
+            rows = [{"k": k} | article(h, u or "", most) for k, h, u in zip(batch["k"], batch["h"], batch["u"], strict=True)]
             yield pd.DataFrame(rows, columns=["k", *[c.split()[0] for c in SCHEMA.split(", ")]])
 
     picked = pages.where(F.col(html).isNotNull()).select(F.col(key).alias("k"), F.col(html).alias("h"), F.col(url).alias("u"))
