@@ -59,7 +59,7 @@ def fingerprints(df: DataFrame, key: str, texts: list[str], span: int, gram: int
         for batch in batches:
             keys, hashes, around = [], [], []
             for k, text in zip(batch["k"], batch["t"], strict=True):
-                for words in readings(text):
+                for words in readings(text, span):
                     at, h = winnow(words, gram, span - gram + 1)
                     if wanted is not None and len(h):
                         found = np.searchsorted(wanted, h)
@@ -92,7 +92,7 @@ def find_leaks(
     distinct = tests.select("h").distinct()
     only = None
     if distinct.count() * 8 < BROADCAST_BYTES:
-        only = np.sort(np.asarray([r.h for r in distinct.collect()], dtype=np.int64))
+        only = np.sort(distinct.toPandas()["h"].to_numpy(np.int64))  # by Arrow, as many bytes as were counted
     found = fingerprints(documents, doc_key, [doc_text], span, gram, only)
     hits = found.join(broadcast_if_small(tests, "expected"), "h")
     reach = span - gram

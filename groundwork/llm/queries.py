@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from groundwork.llm import percentiles as pct
 from groundwork.llm.leaks import find_leaks
-from groundwork.llm.runs import collapse_runs
+from groundwork.llm.runs import collapse_runs, word_share
 from groundwork.llm.spans import shared_spans
 from groundwork.llm.subjects import found_subjects, subject_shares
 from groundwork.llm.tokens import encode_corpus
@@ -76,6 +76,16 @@ def p2_calls(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p2_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Successive calls of one question's tools that differ little, by tool and the words of what it found, as one each."""
+    quick = records(table(spark, folder, "quick_path"), "record_id", "tools")
+    # figures differ from call to call; the rest of a summary says what kind of result came
+    label = f"concat(coalesce({_tool('x.name')}, '?'), ' ', coalesce(lower(regexp_replace(x.summary, '[0-9]+', '#')), ''))"
+    calls = quick.select("record_id", F.expr(f"transform(tools, x -> {label})").alias("labels"), F.expr("transform(tools, (x, i) -> i + 1)").alias("at"), F.expr("tools.ms").alias("ms"))
+    runs = collapse_runs(calls, ["record_id"], "labels", "at", "ms", penalty=0.5, distance=word_share)
+    return runs.select("record_id", F.col("first_position").alias("first_step"), F.col("label"), F.col("events").alias("calls"), F.col("total_duration").alias("total_ms"))
+
+
 def _measures(spark: SparkSession, folder: str) -> DataFrame:
     quick = records(table(spark, folder, "quick_path"), "record_id", "route", "ran_at", "latency_ms", "ttft_ms", "cost_usd")
     quick = quick.where("route is not null")
@@ -132,7 +142,7 @@ def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return by.withColumn("share", F.col("sentences") / total)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_calls, p5_found, p5_percentiles, p6_ids, p7_found, p8_found, p8_shares, p8_mixture)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_calls, p2_near, p5_found, p5_percentiles, p6_ids, p7_found, p8_found, p8_shares, p8_mixture)}
 
 
 def _latest(name: str, key: str) -> str:

@@ -35,6 +35,12 @@ def edit_share(a: str, b: str) -> float:
     return row[-1] / max(len(a), len(b), 1)
 
 
+def word_share(a: str, b: str) -> float:
+    """The share of the two labels' words that only one of them has."""
+    x, y = set(a.split()), set(b.split())
+    return 1 - len(x & y) / max(len(x | y), 1)
+
+
 def run_cost(labels: list[str | None], distance: Distance) -> float:
     """What the events of one run differ from their best representative; a null label only stands alone."""
     if len(labels) == 1:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html
+import itertools
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import regex
 
@@ -54,10 +56,42 @@ def words(text: str) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFKC", composed(text).casefold()))
 
 
-def readings(text: str) -> list[list[str]]:
+def _mixed(seen: str, reach: int) -> Iterator[list[str]]:
+    """The words around hyphens at line ends that stand within reach words of each other, with some of them joined and others
+    not, in every way that isn't the same for all."""
+    pieces, at = [], 0
+    for m in _DIVIDED.finditer(seen):
+        pieces.append(seen[at : m.start()])
+        at = m.end()
+    if len(pieces) < 2:
+        return
+    parts = [words(p) for p in [*pieces, seen[at:]]]
+    last = 0
+    for i in range(len(pieces)):
+        # hyphen i stands between the parts i and i + 1
+        j, between = i, 0
+        while j + 1 < len(pieces) and between + len(parts[j + 1]) <= reach + j + 1 - i:
+            between += len(parts[j + 1])
+            j += 1
+        if j <= max(i, last):
+            continue
+        last = j
+        for joined in itertools.product((False, True), repeat=j - i + 1):
+            if len(set(joined)) > 1:
+                out = parts[i][-reach:]
+                for k, join in enumerate(joined, i + 1):
+                    more = parts[k][:reach] if k == j + 1 else parts[k]
+                    if join and out and more:
+                        out = [*out[:-1], out[-1] + more[0], *more[1:]]
+                    else:
+                        out = [*out, *more]
+                yield out
+
+
+def readings(text: str, reach: int = 12) -> list[list[str]]:
     """The words of a text as a reader sees them: runs of letters and digits, whatever case, punctuation, layout, markup,
     citation markers or encoding of characters. A hyphen at a line's end may divide a word or belong to it; a text with any
-    has both readings."""
+    is read in both ways, and where several stand within reach words, those parts are read in all ways."""
     seen = visible(text)
     joined = undivided(seen)
-    return [words(joined)] + ([words(seen)] if joined != seen else [])
+    return [words(joined)] + ([words(seen), *_mixed(seen, reach)] if joined != seen else [])

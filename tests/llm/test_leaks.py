@@ -38,6 +38,24 @@ def test_a_hyphen_at_a_line_end_has_both_readings():
     assert readings("a well-\nknown thing") == [["a", "wellknown", "thing"], ["a", "well", "known", "thing"]]
 
 
+def test_hyphens_within_reach_are_read_in_all_ways():
+    from itertools import product
+
+    divided = "a well-\nknown inter-\nnational and long-\nterm plan"
+    want = {f"a well{x}known inter{y}national and long{z}term plan" for x, y, z in product(["", " "], repeat=3)}
+    assert want <= {" ".join(r) for r in readings(divided)}
+    filler = " ".join(f"w{i}" for i in range(20))
+    assert len(readings(f"well-\nknown {filler} inter-\nnational")) == 2  # too far apart for one span
+
+
+def test_a_span_with_both_kinds_of_hyphens_is_found(spark):
+    passage = "the well known method of international trade in grain rests on many long term contracts"
+    text = "Intro words here. The well-\nknown method of inter-\nnational trade in grain rests on many long-\nterm contracts. And more text follows here."
+    docs = spark.createDataFrame([(1, text), (2, text.replace("\n", ""))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, passage)], "item_id long, anchor string")
+    assert [tuple(r) for r in find_leaks(docs, "doc_id", "text", items, "item_id", ["anchor"]).collect()] == [(7, 1)]
+
+
 @pytest.mark.parametrize("limit", [leaks.BROADCAST_BYTES, 0])
 def test_equal_to_brute_force(spark, limit, monkeypatch):
     monkeypatch.setattr(leaks, "BROADCAST_BYTES", limit)

@@ -19,7 +19,14 @@ def test_query(spark, con, data, name):
 
 
 def test_every_query_without_sql_has_a_test():
-    assert set(QUERIES) - set(SQL) == {"p6_ids", "p7_found", "p8_found", "p8_shares", "p8_mixture"}
+    assert set(QUERIES) - set(SQL) == {"p6_ids", "p7_found", "p8_found", "p8_shares", "p8_mixture", "p2_near"}
+
+
+def test_p2_near_keeps_every_call(spark, con, data):
+    want = dict(con.sql("select record_id, len(tools) from (select distinct on (record_id) * from quick_path) where len(tools) > 0").fetchall())
+    rows = QUERIES["p2_near"](spark, data).toPandas()
+    assert rows.groupby("record_id")["calls"].sum().to_dict() == want
+    assert (rows["calls"] > 1).any()
 
 
 def test_p6_ids_are_those_of_the_public_tokenizer(spark, con, data):
