@@ -57,7 +57,7 @@ REMEMBERED = 1 << 20
 _UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}\p{Tai_Le}\p{New_Tai_Lue}\p{Tai_Tham}\p{Tai_Viet}\p{Javanese}\p{Balinese}"
 _CLOSING = r"[\"”’»)\]」』】》〉]*"
 _SPACED_END = rf"(?<=[.!?…。؟۔।॥։።፧።။។]){_CLOSING}\s+|\n[ \t]*\n"
-_SENTENCE = regex.compile(_SPACED_END)
+_SENTENCE = re.compile(_SPACED_END)
 _TERM = re.compile(r"[^\W\d_]{2,}")
 #: Texts with any of these are read by the patterns below; the first holds all blocks that may have any, and is quicker.
 _MAY_BE_OTHER = re.compile("[\u02ea\u02eb\u0300-\u036f\u0483-\u0489\u0590-\u1dff\u20d0-\u20ff\u2c00-\U0010ffff]")
@@ -84,25 +84,22 @@ def _terms(sentence: str) -> Iterator[str]:
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The terms of each sentence, once each, in one case: its words, or pairs of characters in scripts without spaces."""
-    out = []
+    """The terms of each sentence, once each in order of first use, in one case: its words, or pairs of characters in scripts without spaces."""
     seen = composed(undivided(visible(text).replace("\r", ""))).strip()
     other = not seen.isascii() and _MAY_BE_OTHER.search(seen) is not None and _OTHER.search(seen) is not None
-    for sentence in (_OTHER_SENTENCE if other else _SENTENCE).split(seen):
-        terms = set(_terms(sentence.casefold()) if other else _TERM.findall(sentence.casefold()))
-        if terms:
-            out.append(sorted(terms))
-    return out
+    parts = (_OTHER_SENTENCE if other else _SENTENCE).split(seen)
+    each = (_terms(s.casefold()) if other else _TERM.findall(s.casefold()) for s in parts)
+    return [terms for terms in (list(dict.fromkeys(t)) for t in each) if terms]
+
 
+class Numbers(dict):
+    """64 bits that stand for each term; remembers some."""
 
-def _number(known: dict[str, int], term: str) -> int:
-    """64 bits that stand for a term."""
-    found = known.get(term)
-    if found is None:
-        if len(known) >= REMEMBERED:
-            known.clear()
-        found = known[term] = xxhash.xxh64_intdigest(term) - (1 << 63)
-    return found
+    def __missing__(self, term: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[term] = xxhash.xxh64_intdigest(term) - (1 << 63)
+        return found
 
 
 def split_corpus(docs: DataFrame) -> DataFrame:
@@ -111,7 +108,7 @@ def split_corpus(docs: DataFrame) -> DataFrame:
     kind = docs.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known = Numbers()
         for batch in batches:
             texts = batch.column(3).to_pylist()
             start = 0
@@ -119,7 +116,7 @@ def split_corpus(docs: DataFrame) -> DataFrame:
                 rows, terms, sizes, ends, size_ends, characters = [], [], [], [0], [0], 0
                 while start < len(texts) and characters < PORTION:
                     for sentence in sentences(texts[start]):
-                        terms += [_number(known, t) for t in sentence]
+                        terms += map(known.__getitem__, sentence)
                         sizes.append(len(sentence))
                     if len(sizes) > size_ends[-1]:
                         rows.append(start)
@@ -173,7 +170,12 @@ class Weights:
 
     def __init__(self, subjects: int, terms: np.ndarray, weights: np.ndarray) -> None:
         order = np.argsort(terms)
-        self.subjects, self.terms, self.weights = subjects, terms[order], weights[order]
+        order = order[(weights[order] > 0).any(axis=1)]
+        self.subjects, self.terms = subjects, terms[order]
+        # most terms have a weight in one subject and in what all share: only those are kept
+        term, self.component = np.nonzero(weights[order] > 0)
+        self.weights = weights[order][term, self.component]
+        self.first = np.searchsorted(term, np.arange(len(order) + 1))
 
     def explain(self, portion: Portion) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Places of anchored terms, what of each is explained by each component, the subjects' sums by sentence, and the
@@ -183,26 +185,36 @@ class Weights:
         place = np.flatnonzero(self.terms[at] == portion.terms) if len(self.terms) else np.zeros(0, np.int64)
         if not len(place):
             return place, np.zeros((0, k + 1)), np.zeros((n, k)), 0.0
-        h = self.weights[at[place]]
         some, row = np.unique(portion.sentence[place], return_inverse=True)  # sentences without an anchored term are on nothing
         document, m = portion.document[some], len(some)
+        # one entry for every weight of every anchored term: its term, component and weight, and its cell in the sentences' weights
+        first, size = self.first[at[place]], np.diff(self.first)[at[place]]
+        ends = np.cumsum(size)
+        term = np.repeat(np.arange(len(place)), size)
+        entry = np.arange(ends[-1]) + (first - ends + size)[term]
+        component, h = self.component[entry], self.weights[entry]
+        cell = row[term] * (k + 1) + component
         background = (portion.sizes[some] - np.bincount(row, minlength=m)).astype(float)
         mixture = np.full((portion.documents, k), 1 / k)
         for half in range(2):
-            base = np.column_stack([PRIOR_WORDS * mixture[document] + 1e-3, background + 0.5])
+            base = np.column_stack([PRIOR_WORDS * mixture[document] + 1e-3, background + 0.5]).ravel()
             w = base
             for _ in range(UPDATES):
-                part = w[row] * h
-                part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
-                w = base + _by_group(part, row, m)
+                part = w[cell] * h
+                part /= np.maximum(np.add.reduceat(part, ends - size), 1e-300)[term]
+                told = np.bincount(cell, part, minlength=len(base))
+                w = base + told
+            told = told.reshape(m, k + 1)
             if half == 0:
-                total = _by_group(w[:, :k] - base[:, :k], document, portion.documents) + 0.1
+                total = _by_group(told[:, :k], document, portion.documents) + 0.1
                 mixture = total / total.sum(axis=1, keepdims=True)
         by_sentence = np.zeros((n, k))
-        by_sentence[some] = w[:, :k] - base[:, :k]
-        share = w / w.sum(axis=1, keepdims=True)
-        divergence = -np.log(np.maximum((share[row] * h).sum(axis=1), 1e-300)).sum()
-        return place, part, by_sentence, float(divergence)
+        by_sentence[some] = told[:, :k]
+        by_term = np.zeros((len(place), k + 1))
+        by_term[term, component] = part
+        share = w / np.repeat(w.reshape(m, k + 1).sum(axis=1), k + 1)
+        divergence = -np.log(np.maximum(np.add.reduceat(share[cell] * h, ends - size), 1e-300)).sum()
+        return place, by_term, by_sentence, float(divergence)
 
 
 def _priors(total: Row, subjects: int) -> dict[str, np.ndarray] | None:

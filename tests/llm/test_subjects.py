@@ -53,7 +53,7 @@ def test_without_labels_or_documents(spark):
 
 
 def test_sentences():
-    assert [" ".join(s) for s in sentences("One two. Three <b>four</b> [1]. Five-\nsix\n\nSeven")] == ["one two", "four three", "fivesix", "seven"]
+    assert [" ".join(s) for s in sentences("One two. Three <b>four</b> [1]. Five-\nsix\n\nSeven")] == ["one two", "three four", "fivesix", "seven"]
 
 
 def sized(names, weights, n, rng, none=0.2):
@@ -91,12 +91,13 @@ def test_large_few_and_lone_subjects(spark, names, weights, none):
 
 
 def test_terms_and_sentences_of_other_scripts():
-    assert sentences("我喜欢音乐。他种田！是吗？好") == [["喜欢", "我喜", "欢音", "音乐"], ["他种", "种田"], ["是吗"], ["好"]]
-    assert sentences("「海へ行く。」と言った。終わり") == [["へ行", "海へ", "行く"], sorted(["と言", "言っ", "った"]), sorted(["終わ", "わり"])]
-    assert sentences("हिन्दी में किताब है। संगीत सुनो।") == [sorted(["हिन्दी", "में", "किताब", "है"]), sorted(["संगीत", "सुनो"])]
+    ordered = lambda text: [sorted(s) for s in sentences(text)]
+    assert ordered("我喜欢音乐。他种田！是吗？好") == [["喜欢", "我喜", "欢音", "音乐"], ["他种", "种田"], ["是吗"], ["好"]]
+    assert ordered("「海へ行く。」と言った。終わり") == [["へ行", "海へ", "行く"], sorted(["と言", "言っ", "った"]), sorted(["終わ", "わり"])]
+    assert ordered("हिन्दी में किताब है। संगीत सुनो।") == [sorted(["हिन्दी", "में", "किताब", "है"]), sorted(["संगीत", "सुनो"])]
     assert len(sentences("ฉันชอบดนตรี เขาทำนา")) == 2
-    assert sentences("AI技术 works. Next") == [sorted(["ai", "技术", "works"]), ["next"]]
-    assert sentences("Ça va bien… Où est-il? Là-bas.") == [["bien", "va", "ça"], ["est", "il", "où"], ["bas", "là"]]
+    assert ordered("AI技术 works. Next") == [sorted(["ai", "技术", "works"]), ["next"]]
+    assert ordered("Ça va bien… Où est-il? Là-bas.") == [["bien", "va", "ça"], ["est", "il", "où"], ["bas", "là"]]
 
 
 OTHERS = {
