@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundwork.runtime import broadcast_if_small, durable
+
 # Two-sided 95 % quantiles of Student's t for 1 to 9 degrees of freedom; beyond, the normal one.
 T_95 = [12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262]
 Z_95 = 1.96
@@ -16,27 +18,41 @@ def rounded(x: Column, places: int) -> Column:
     return F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
-def at_rank(df: DataFrame, keys: list[str], value: str, rank: Column, name: str) -> DataFrame:
-    """Per group the value at a 1-based rank that is computed from the group's count ``n``.
+def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """keys, n, and for each name the value at a 1-based rank that is computed from the group's count ``n``.
 
-    Values are counted first, so that a group of any size becomes as many rows as it has distinct values, and the running
-    count over these finds the rank. Nothing is collected.
+    Values are counted first, so that a group of any size becomes as many rows as it has distinct values. These are spread by
+    range, whatever their group; only sums by slice come together to say in which slice a rank lies, and only that slice is
+    counted through. Null values are left out, a null key is a group, and an empty table gives an empty one.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    run = counts.withColumn("n", F.sum("_c").over(over)).withColumn("_to", F.sum("_c").over(over.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    hit = run.where((F.col("_to") >= rank) & (F.col("_to") - F.col("_c") < rank))
-    return hit.select(*keys, F.col("_v").alias(name), "n")
-
-
-def percentile_floor(df: DataFrame, keys: list[str], value: str, p: int) -> DataFrame:
-    """sorted[min(n - 1, floor(p n / 100))]."""
-    return at_rank(df, keys, value, F.least(F.col("n"), F.floor(F.col("n") * p / 100) + 1), f"p{p}")
-
-
-def percentile_nearest(df: DataFrame, keys: list[str], value: str, p: int) -> DataFrame:
-    """The nearest rank: the ceil(p n / 100)-th value."""
-    return at_rank(df, keys, value, F.greatest(F.lit(1), F.ceil(F.col("n") * p / 100)), f"p{p}")
+    names = [f"_g{i}" for i in range(len(keys))]
+    given = df.where(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(g) for k, g in zip(keys, names, strict=True)], F.col(value).alias("_v"))
+    counts = durable(given.agg(F.count("*").alias("_c")).repartitionByRange(*names, "_v").withColumn("_slice", F.spark_partition_id()))
+    group = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
+    slices = counts.groupBy(*names, "_slice").agg(F.sum("_c").alias("_in"))
+    slices = slices.withColumn("n", F.sum("_in").over(group)).withColumn("_upto", F.sum("_in").over(group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()]))
+    held = slices.withColumn("_want", wanted).where((F.col("_want.rank") <= F.col("_upto")) & (F.col("_want.rank") > F.col("_upto") - F.col("_in")))
+    held = held.select(*[F.col(g).alias(f"{g}h") for g in names], F.col("_slice").alias("_at"), "n", (F.col("_upto") - F.col("_in")).alias("_before"), "_want")
+    on = F.col("_slice") == F.col("_at")
+    for g in names:
+        on = on & F.col(g).eqNullSafe(F.col(f"{g}h"))
+    within = Window.partitionBy(*names, "_slice", "_want").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    run = counts.join(broadcast_if_small(held), on).withColumn("_to", F.col("_before") + F.sum("_c").over(within))
+    hit = run.where((F.col("_to") >= F.col("_want.rank")) & (F.col("_to") - F.col("_c") < F.col("_want.rank")))
+    by = hit.groupBy(*names).agg(*[F.max(F.when(F.col("_want.name") == name, F.col("_v"))).alias(name) for name in ranks], F.max("n").alias("n"))
+    by = by if names else by.where("n is not null")
+    return by.select(*[F.col(g).alias(k) for k, g in zip(keys, names, strict=True)], *ranks, "n")
+
+
+def percentile_floor(df: DataFrame, keys: list[str], value: str, *ps: int) -> DataFrame:
+    """sorted[min(n - 1, floor(p n / 100))], as p50 and so on."""
+    return at_ranks(df, keys, value, {f"p{p}": F.least(F.col("n"), F.floor(F.col("n") * p / 100) + 1) for p in ps})
+
+
+def percentile_nearest(df: DataFrame, keys: list[str], value: str, *ps: int) -> DataFrame:
+    """The nearest rank: the ceil(p n / 100)-th value, as p50 and so on."""
+    return at_ranks(df, keys, value, {f"p{p}": F.greatest(F.lit(1), F.ceil(F.col("n") * p / 100)) for p in ps})
 
 
 def t_interval(value: str) -> list[Column]:

@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 from groundwork.functions.literals import ansi_text as a
 from groundwork.plans import answers as A
 from groundwork.plans import evidence as E
-from groundwork.plans import retrieval as R
+from groundwork.plans import blocks
 from groundwork.queries.retrieval import ASKED, TOP, _bm, _rk
 from groundwork.queries.text import _plan_words
-from groundwork.runtime import broadcast_if_small
+from groundwork.runtime import broadcast_if_small, durable, spread
 from groundwork.sources.tables import table
 
 
 def _found(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
+    docs = spread(table(spark, folder, "documents").where("text is not null").select("doc_id", "text"), "doc_id")
     asked = table(spark, folder, "eval_items").select("item_id", "question")
-    top = R.ranked(R.bm25(docs, "doc_id", "text", asked, "item_id", "question"), "item_id", "doc_id", TOP)
+    top = blocks.lexical_best(docs, "doc_id", "text", asked, "item_id", "question", TOP)
     return top.join(docs, "doc_id").join(broadcast_if_small(asked, "question"), "item_id").select(F.col("item_id").alias("question_id"), "question", F.col("rank").alias("n"), "doc_id", "text")
 
 
 def extractive_answers(spark: SparkSession, folder: str) -> DataFrame:
-    found = _found(spark, folder)
+    found = durable(_found(spark, folder))  # the sources that are quoted and those that are checked
     checked = E.validated(A.extractive(found), "question_id", "answer", found.select("question_id", "n", "text"), "n", "text")
     return checked.select("question_id", "answer", F.array_join("cited", ",").alias("cited"), "cited_sentences", "supported_sentences", "groundedness")
 

@@ -12,7 +12,7 @@ from groundwork.functions.literals import spark_text as q
 from groundwork.operators import stats
 from groundwork.plans import audit as A
 from groundwork.plans import evidence as E
-from groundwork.plans import retrieval as R
+from groundwork.plans import blocks
 from groundwork.queries.evidence import G, M, _grounding
 from groundwork.queries.retrieval import _bm, _corpus, _pt, _questions, _rk
 from groundwork.queries.stats import _log, _runs
@@ -106,7 +106,7 @@ def source_locators(spark: SparkSession, folder: str) -> DataFrame:
 def gold_recall(spark: SparkSession, folder: str) -> DataFrame:
     """Whether one of the five best documents for a question holds six words in a row of the passage that answers it."""
     docs = _corpus(spark, folder)
-    top = R.ranked(R.bm25(docs, "doc_id", "text", _questions(spark, folder), "item_id", "question"), "item_id", "doc_id", 5).select("item_id", "doc_id")
+    top = blocks.lexical_best(docs, "doc_id", "text", _questions(spark, folder), "item_id", "question", 5).select("item_id", "doc_id")
     items = table(spark, folder, "eval_items").select("item_id", F.expr(T.plain_tokens("coalesce(anchor, '')")).alias("t"))
     held = docs.join(top, "doc_id").join(items, "item_id").withColumn("hay", F.expr(f"array_join({T.plain_tokens('text')}, ' ')"))
     hits = held.groupBy("item_id").agg(F.max(F.expr(E.grounded("t", "hay", 6))).alias("hit"))

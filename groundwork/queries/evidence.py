@@ -13,6 +13,7 @@ from groundwork.functions.literals import spark_text as q
 from groundwork.operators.paths import longest_prefix
 from groundwork.plans import evidence as E
 from groundwork.queries.text import _absent, _words, latest
+from groundwork.runtime import broadcast_if_small, spread
 from groundwork.sources.tables import records, table
 
 
@@ -24,10 +25,12 @@ def _grounding(spark: SparkSession, folder: str) -> DataFrame:
 
 def _validated(spark: SparkSession, folder: str) -> DataFrame:
     """Cited answers against the four documents after each."""
-    d = table(spark, folder, "documents").select("doc_id", "text", "source")
-    answers = d.where("source = 'answer'").select("doc_id", "text")
-    pairs = d.select(F.col("text").alias("source_text"), F.explode(F.expr("transform(sequence(1, 4), n -> named_struct('doc_id', doc_id - n, 'n', n))")).alias("p"))
-    return E.validated(answers, "doc_id", "text", pairs.select("p.doc_id", "p.n", "source_text"), "n", "source_text")
+    d = spread(table(spark, folder, "documents").select("doc_id", "text", "source"), "doc_id")
+    answers = d.where("source = 'answer' and text is not null").select("doc_id", "text")
+    # which documents are sources of an answer is settled by ids, before any text moves
+    wanted = answers.select("doc_id", F.explode(F.expr("transform(sequence(1, 4), n -> named_struct('at', doc_id + n, 'n', n))")).alias("p")).select("doc_id", "p.at", "p.n")
+    sources = d.select(F.col("doc_id").alias("at"), F.col("text").alias("source_text")).join(broadcast_if_small(wanted), "at")
+    return E.validated(answers, "doc_id", "text", sources.select("doc_id", "n", "source_text"), "n", "source_text")
 
 
 def answer_validation(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from groundwork.plans import blocks
 from groundwork.plans import chunks as C
 from groundwork.plans import retrieval as R
 from groundwork.queries.text import _tok
-from groundwork.runtime import broadcast_if_small
+from groundwork.runtime import broadcast_if_small, spread
 from groundwork.sources.tables import table
 
 TOP = 6
 
 
 def _corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
+    return spread(table(spark, folder, "documents").where("text is not null").select("doc_id", "text"), "doc_id")
 
 
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,7 +24,7 @@ def _questions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_pages(spark: SparkSession, folder: str) -> DataFrame:
-    c = C.chunked(table(spark, folder, "documents"), "doc_id", "text")
+    c = C.chunked(_corpus(spark, folder), "doc_id", "text")
     return c.select("doc_id", "chunk_index", "page", "page_label", "char_start", "char_end", "line", F.md5("text").alias("digest"))
 
 
@@ -32,8 +33,7 @@ def corpus_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    scored = R.bm25(_corpus(spark, folder), "doc_id", "text", _questions(spark, folder), "item_id", "question")
-    return R.ranked(scored, "item_id", "doc_id", TOP)
+    return blocks.lexical_best(_corpus(spark, folder), "doc_id", "text", _questions(spark, folder), "item_id", "question", TOP)
 
 
 def local_embedding(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,11 +42,8 @@ def local_embedding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
-    corpus, asked = _corpus(spark, folder), _questions(spark, folder)
-    lexical = R.ranked(R.bm25(corpus, "doc_id", "text", asked, "item_id", "question"), "item_id", "doc_id")
-    dense = R.ranked(R.cosines(R.embedded(asked, "item_id", "question"), "item_id", R.embedded(corpus, "doc_id", "text"), "doc_id"), "item_id", "doc_id")
-    both = R.fused(dense, lexical, "item_id", "doc_id", 0.4).withColumn("score", R.rounded(F.col("score") * 1000))
-    return R.ranked(both, "item_id", "doc_id", TOP)
+    both = blocks.hybrid(_corpus(spark, folder), "doc_id", "text", _questions(spark, folder), "item_id", "question", TOP)
+    return R.ranked(both.withColumn("score", R.rounded(F.col("score") * 1000)), "item_id", "doc_id", TOP)
 
 
 def memory_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,10 +63,7 @@ def memory_search(spark: SparkSession, folder: str) -> DataFrame:
 def namespace_rank(spark: SparkSession, folder: str) -> DataFrame:
     """Nearest vectors by cosine within each namespace (label), for every vector whose id is divisible by 20."""
     v = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
-    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    pairs = v.join(broadcast_if_small(asked, "q"), "label").where("vec_id != query_id")
-    scored = pairs.select("query_id", "vec_id", F.expr(f"floor(({R.dense_cosine('q', 'embedding')}) * 1e6 + 0.5) / 1e6").alias("score"))
-    return R.ranked(scored, "query_id", "vec_id", 10)
+    return blocks.nearest(v, "vec_id", "embedding", "label", v.where("vec_id % 20 = 0"), 10)
 
 
 def namespace_consistency(spark: SparkSession, folder: str) -> DataFrame:

@@ -55,15 +55,11 @@ def run_cube(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pct_floor_index(spark: SparkSession, folder: str) -> DataFrame:
-    log = _log(spark, folder)
-    a = stats.percentile_floor(log, ["event_type"], "latency_ms", 50)
-    return a.join(stats.percentile_floor(log, ["event_type"], "latency_ms", 95).drop("n"), "event_type")
+    return stats.percentile_floor(_log(spark, folder), ["event_type"], "latency_ms", 50, 95)
 
 
 def pct_nearest_rank(spark: SparkSession, folder: str) -> DataFrame:
-    log = _log(spark, folder)
-    a = stats.percentile_nearest(log, ["mode"], "latency_ms", 50)
-    return a.join(stats.percentile_nearest(log, ["mode"], "latency_ms", 95).drop("n"), "mode")
+    return stats.percentile_nearest(_log(spark, folder), ["mode"], "latency_ms", 50, 95)
 
 
 def t_interval(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,11 +10,12 @@ from groundwork.functions import text as T
 from groundwork.functions import urls as U
 from groundwork.functions.literals import ansi_text as a
 from groundwork.functions.literals import ansi_words
+from groundwork.runtime import spread
 from groundwork.sources.tables import records, table
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
+    return spread(table(spark, folder, "documents").where("text is not null").select("doc_id", "text"), "doc_id")
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:

@@ -65,6 +65,13 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan's rows over as many tasks as there are cores, by hash of keys, if its files make fewer; else df. For work that costs
+    much per row: at scale a scan has more tasks than cores, and nothing is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def bounded_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
     """Let no Arrow batch that goes to Python be larger than limit bytes, however long its rows are (one row at least)."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

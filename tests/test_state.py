@@ -91,3 +91,21 @@ def test_suffixes_from_a_file(tmp_path):
     path = tmp_path / "suffixes"
     path.write_text("// note\ncom\nco.uk // here\n*.ck\n!www.ck\nCOM.au\n")
     assert read_suffixes(str(path)) == "co.uk com.au"
+
+
+def test_ranks_are_those_of_the_sorted_values(spark):
+    import math
+    import random
+
+    from groundwork.operators import stats
+
+    rng = random.Random(2)
+    groups = {"a": [rng.randint(0, 50) for _ in range(501)], None: [7, 7, 9], "one": [3], "wide": list(range(2000))}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("none", None), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    got = {r.g: (r.p5, r.p50, r.p100, r.n) for r in stats.percentile_nearest(df, ["g"], "v", 5, 50, 100).collect()}
+    assert got == {g: (*[sorted(vs)[max(1, math.ceil(len(vs) * p / 100)) - 1] for p in (5, 50, 100)], len(vs)) for g, vs in groups.items()}
+    every = sorted(v for vs in groups.values() for v in vs)
+    (r,) = stats.percentile_floor(df, [], "v", 50).collect()
+    assert (r.p50, r.n) == (every[min(len(every) - 1, len(every) * 50 // 100)], len(every))
+    assert stats.percentile_floor(df.limit(0), [], "v", 50).count() == 0 == stats.percentile_floor(df.limit(0), ["g"], "v", 50).count()
