@@ -13,6 +13,7 @@ from groundwork.llm.runs import collapse_runs, word_share
 from groundwork.llm.spans import shared_spans
 from groundwork.llm.subjects import found_subjects, subject_shares
 from groundwork.llm.tokens import encode_corpus
+from groundwork.runtime import spread
 from groundwork.sources.tables import records, table
 
 #: The tools that names stand for.
@@ -25,7 +26,11 @@ def _passages(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, name).where("rec_id is not null").select(F.lit(name).alias("src_table"), "rec_id", F.col(text).alias("passage"))
         for name, text in (("grounding_rows", "snippet"), ("miss_shapes", "sentence"))
     ]
-    return parts[0].unionByName(parts[1])
+    return spread(parts[0].unionByName(parts[1]), "rec_id")
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,18 +122,17 @@ def vocabulary(name: str) -> str:
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    return encode_corpus(docs, "doc_id", "text", vocabulary("byte_bpe_50k.tiktoken"))
+    return encode_corpus(_documents(spark, folder), "doc_id", "text", vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return find_leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", ["question", "anchor"])
+    return find_leaks(_documents(spark, folder), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", ["question", "anchor"])
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Of each document the sentences on each subject and their share."""
     names = [r.subject for r in table(spark, folder, "subjects").where("subject is not null").select("subject").distinct().collect()]
-    return subject_shares(table(spark, folder, "documents"), "doc_id", "text", sorted(names), table(spark, folder, "subject_labels"), "doc_id", "subject")
+    return subject_shares(_documents(spark, folder), "doc_id", "text", sorted(names), table(spark, folder, "subject_labels"), "doc_id", "subject")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
