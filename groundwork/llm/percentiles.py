@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.runtime import broadcast_if_small, durable, release
@@ -26,20 +26,24 @@ _FRACTION = 1 << 52
 _LEAST_EXPONENT = -1022
 
 
-def ordered(v: Column) -> Column:
-    """A whole number for a finite double, as far from 0 as there are doubles between; it grows with the double.
+def with_order(df: DataFrame, v: str, name: str) -> DataFrame:
+    """df with a whole number for every finite double of column v, as far from 0 as there are doubles between; it grows with it.
 
     That is the double's bits without the sign, times the sign. All steps are exact: the logarithm is off by one place at
-    most, which the comparisons mend, and the other factors are powers of two.
+    most, which the comparisons mend, and the other factors are powers of two. Each step is a column of its own, so that the
+    logarithm and the power are taken once a row.
     """
-    size = F.abs(v)
-    guess = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(_LEAST_EXPONENT)).cast("int")
-    power = lambda e: F.pow(F.lit(2.0), e)
-    exponent = F.when(size < power(guess), guess - 1).when((guess < 1023) & (size / 2 >= power(guess)), guess + 1).otherwise(guess)
-    normal = (exponent + 1022).cast("long") * _FRACTION + (size / power(exponent) * float(_FRACTION)).cast("long")
+    size, guess, power = F.abs(F.col(v)), F.col("_guess"), F.col("_power")
+    exponent = F.floor(F.log2(F.greatest(size, F.lit(2.0**_LEAST_EXPONENT))))
+    df = df.withColumn("_guess", F.greatest(F.least(exponent, F.lit(1023)), F.lit(_LEAST_EXPONENT)).cast("int"))
+    df = df.withColumn("_power", F.pow(F.lit(2.0), guess.cast("double")))
+    less, more = size < power, size / 2 >= power
+    mended = {"_power": F.when(less, power / 2).when(more, power * 2).otherwise(power), "_guess": F.when(less, guess - 1).when(more, guess + 1).otherwise(guess)}
+    df = df.withColumns(mended)
+    normal = (guess + 1022).cast("long") * _FRACTION + (size / power * float(_FRACTION)).cast("long")
     subnormal = (size * 2.0**537 * 2.0**537).cast("long")
     bits = F.when(size < 2.0**_LEAST_EXPONENT, subnormal).otherwise(normal)
-    return F.when(v < 0, -bits).otherwise(bits)
+    return df.withColumn(name, F.when(F.col(v) < 0, -bits).otherwise(bits)).drop("_guess", "_power")
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, wanted: list[float], midpoints: int = MIDPOINTS) -> DataFrame:
@@ -55,7 +59,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: list[float],
     names = [f"g{i}" for i in range(len(keys))]
     v = F.col(value).cast("double")
     rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], (v + F.lit(0.0)).alias("v"))
-    rows = durable(rows.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf"))).withColumn("o", ordered(F.col("v"))))
+    rows = durable(with_order(rows.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf"))), "v", "o"))
     wide = rows.groupBy(*names).agg(F.count("*").alias("n"), F.min("o").alias("lo"), F.max("o").alias("hi"), F.max("v").alias("value"))
     rank = F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("n") / 100 - 1e-9)).cast("long")
     targets = durable(wide.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in wanted]))).withColumn("k", rank))

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from groundwork.llm.percentiles import ordered, percentiles
+from groundwork.llm.percentiles import percentiles, with_order
 
 
 def exact(values, p):
@@ -47,11 +47,9 @@ def test_values_of_any_range_take_few_passes(spark, monkeypatch):
 def test_order_of_doubles(spark):
     import struct
 
-    from pyspark.sql import functions as F
-
     rng = random.Random(3)
     values = [s * x for e in range(-1074, 1024) for x in (2.0**e, math.nextafter(2.0**e, 0), math.nextafter(2.0**e, math.inf)) for s in (-1, 1)]
     values += [v for v in (struct.unpack("d", struct.pack("Q", rng.getrandbits(64)))[0] for _ in range(5000)) if math.isfinite(v)]
     bits = lambda v: struct.unpack("q", struct.pack("d", abs(v)))[0] * (-1 if v < 0 else 1)
-    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", ordered(F.col("v")).alias("o")).collect()
+    rows = with_order(spark.createDataFrame([(v,) for v in values], "v double"), "v", "o").collect()
     assert all(r.o == bits(r.v) for r in rows)
