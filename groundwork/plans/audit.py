@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions import literals as L
+from groundwork.functions import text as T
 from groundwork.functions.literals import spark_text as q
+from groundwork.runtime import broadcast_if_small
 
 # A notice that an answer was cut short, figures in a sentence, and keys whose values are secrets.
 CUT_SHORT = r"(?i)^\*?_?(?:research was cut short|the answer was cut short)"
@@ -121,6 +123,30 @@ def award(passed: str, parts: str, points: int) -> str:
     )
 
 
+def incoherent(budget: dict[str, float], thresholds: dict[str, float], required: set[str], forbidden: set[str]) -> list[str]:
+    """What can't be meant in declared expectations: bounds that aren't positive, shares outside 0 to 1, and tools that must and
+    must not be called."""
+    problems = [f"budget.{k} must be a positive number" for k, v in sorted(budget.items()) if not isinstance(v, (int, float)) or isinstance(v, bool) or v <= 0]
+    problems += [f"{k} is outside 0..1" for k, v in sorted(thresholds.items()) if not isinstance(v, (int, float)) or not 0 <= v <= 1]
+    return problems + [f"{t} is both required and forbidden" for t in sorted(required & forbidden)]
+
+
+def placed(items: DataFrame, key: str, passage: str, documents: DataFrame, document: str, text: str, least: int = 12) -> DataFrame:
+    """(key, documents, first, problem): how many documents hold an item's whole passage, word for word in plain tokens, and the
+    first of them. Candidates share the hash of the passage's first words; only these are compared in full. Passages of fewer
+    than least words are too short to be placed; null ones are missing."""
+    tokens = items.select(key, F.expr(T.plain_tokens(passage)).alias("t"))
+    heads = tokens.where(f"size(t) >= {least}").select(key, F.expr(f"xxhash64(array_join(slice(t, 1, {least}), ' '))").alias("h"), F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("p"))
+    words = documents.where(F.col(text).isNotNull()).select(F.col(document).alias("_d"), F.expr(T.plain_tokens(text)).alias("t")).where(f"size(t) >= {least}")
+    each = words.select("_d", F.explode(F.expr(f"array_distinct(transform(sequence(0, size(t) - {least}), i -> xxhash64(array_join(slice(t, i + 1, {least}), ' '))))")).alias("h"))
+    candidates = each.join(broadcast_if_small(heads, "p"), "h")
+    full = words.select("_d", F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("hay"))
+    held = candidates.select(key, "_d", "p").join(full, "_d").where("contains(hay, p)").groupBy(key).agg(F.count("*").alias("documents"), F.min("_d").alias("first"))
+    both = tokens.join(held, key, "left")
+    problem = F.when(F.col("t").isNull() | (F.size("t") == 0), "missing").when(F.size("t") < least, "too short").when(F.col("documents").isNull(), "nowhere").when(F.col("documents") > 1, "several")
+    return both.select(key, F.coalesce("documents", F.lit(0)).alias("documents"), "first", problem.alias("problem"))
+
+
 def sections(text: str) -> str:
     """SQL: the headings of levels 1 to 4 of a marked-up text, in order."""
     return f"regexp_extract_all({text}, {q('(?m)^#{1,4} +([^' + chr(92) + 'n' + chr(92) + 'r]+)')}, 1)"

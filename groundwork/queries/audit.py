@@ -113,6 +113,30 @@ def gold_recall(spark: SparkSession, folder: str) -> DataFrame:
     return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
+def gold_placement(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the passages that answer the questions stand in the corpus, and what is wrong with those that don't."""
+    return A.placed(table(spark, folder, "eval_items").select("item_id", "anchor"), "item_id", "anchor", _corpus(spark, folder), "doc_id", "text")
+
+
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Every declared rule by what it checked and how much fails: runs by one pass, the gold set, and the measured thresholds."""
+    r = records(table(spark, folder, "runs"), "run_id", "depth", "tokens", "cost_usd", "wall_clock_sec", "terminated", "tool_calls")
+    names = f"transform(coalesce(tool_calls, array()), c -> coalesce({_letters('c.name')}, ''))"
+    called = lambda tool: f"exists({names}, n -> contains(n, '{tool}'))"
+    streak = stats.longest_streak(r, "run_id", "tool_calls", "name")
+    rules = {
+        "A1": "coalesce(exists(tool_calls, c -> not c.ok and trim(coalesce(c.error, '')) = ''), false)", "A2": "not terminated <=> 'done'", "A3": "streak > 4",
+        "R1": f"not ({called('websearch')} or {called('fetchpage')})", "R2": f"depth <=> 'quick' and {called('planresearch')}",
+        "B1": "coalesce(tokens > 180000, false)", "B2": "coalesce(wall_clock_sec > 240, false)", "B3": "coalesce(cost_usd > 0.35, false)",
+    }
+    counts = r.join(streak, "run_id").agg(F.count("*").alias("checked"), *[F.count_if(F.expr(c)).alias(n) for n, c in rules.items()])
+    each = counts.select(F.expr(f"stack({len(rules)}, " + ", ".join(f"'{n}', checked, {n}" for n in rules) + ") as (rule, checked, failing)"))
+    gold = table(spark, folder, "eval_items").agg(F.count("*").alias("checked")).select(F.lit("E1").alias("rule"), "checked", F.expr("if(checked < 30, 1L, 0L)").alias("failing"))
+    measured = bench_metrics(spark, folder).join(spark.createDataFrame([t for t in TARGETS if t[2] <= 1], "metric string, comparator string, target double"), "metric")
+    met = measured.agg(F.count("*").alias("checked"), F.count_if(F.expr("not case when comparator = '<=' then actual <= target else actual >= target end")).alias("failing")).select(F.lit("E2").alias("rule"), "checked", "failing")
+    return each.unionByName(gold).unionByName(met).withColumn("passes", F.col("failing") == 0)
+
+
 def run_gates(spark: SparkSession, folder: str) -> DataFrame:
     """Runs by depth against each gate: deep ones plan first and stay within 24 calls, quick ones never plan and stay within 8."""
     r = _runs(spark, folder).where("depth is not null")
@@ -325,7 +349,7 @@ def capability_checks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _LISTED = (
-    factual_audit, misgrounded, call_pairs, known_candidates, ledger_sources, rendered_sources, source_locators, gold_recall, run_gates, deep_ratio, distinct_sources,
+    factual_audit, misgrounded, call_pairs, known_candidates, ledger_sources, rendered_sources, source_locators, gold_recall, gold_placement, quality_rules, run_gates, deep_ratio, distinct_sources,
     snapshot_changes, ingest_ratio, workload, fetch_stops, sweep_candidates, rubric_scores, adjudicated, case_summary, run_fingerprints, thread_titles,
     search_then_fetch, markdown_sections, memory_blocks, trajectories, offered_tools, input_problems, redacted_props, public_sources, call_costs, bench_metrics,
     sla_report, fetch_outcomes, space_statistics, capability_checks,
@@ -375,6 +399,13 @@ SQL = {
     "rendered_sources": f"select request_id, md5(left(t, 4500)) as digest, length(left(t, 4500))::int as characters, greatest(0, length(t) - 4500)::int as dropped from (select request_id, string_agg(snippet, chr(10) || '---' || chr(10) order by coalesce(longest_window, 0) desc, rec_id) as t from {G} where request_id is not null and snippet is not null group by 1)",
     "source_locators": "select doc_id, p as page, h as heading, doc_id || ':' || coalesce(p::varchar, '') || ':' || coalesce(h, '') || ':' as locator_key from (select doc_id, nullif(d, '')::int as p, case when d = '' then left(page_label, 200) end as h from (select doc_id, page_label, regexp_extract(page_label, '(?i)^(?:p[.] *|page +)?([0-9]+)', 1) as d from documents where page_label is not null))",
     "gold_recall": f"with {_gold} select * from gr",
+    "gold_placement": f"with i as (select item_id, {_pt('anchor')} as t from eval_items), d as (select doc_id, ' ' || array_to_string({_pt('text')}, ' ') || ' ' as hay from documents where text is not null), h as (select item_id, count(*) as documents, min(doc_id) as first from i join d on contains(hay, ' ' || array_to_string(t, ' ') || ' ') where len(t) >= 12 group by 1)"
+    " select item_id, coalesce(documents, 0) as documents, first, case when t is null or len(t) = 0 then 'missing' when len(t) < 12 then 'too short' when documents is null then 'nowhere' when documents > 1 then 'several' end as problem from i left join h using (item_id)",
+    "quality_rules": f"with r as (select *, list_transform(coalesce(tool_calls, []), lambda c: {_low('c.name')}) as n from {R_}), s as (select run_id, max(k) as streak from (select run_id, count(*) as k from (select run_id, name, i - row_number() over (partition by run_id, name order by i) as g from (select run_id, c.name as name, i from (select run_id, unnest(range(1, len(tool_calls) + 1)) as i, unnest(tool_calls) as c from {R_}))) group by run_id, name, g) group by 1),"
+    " x as (select count(*) as checked, count(*) filter (len(list_filter(tool_calls, lambda c: not c.ok and trim(coalesce(c.error, '')) = '')) > 0) as a1, count(*) filter (terminated is distinct from 'done') as a2, count(*) filter (streak > 4) as a3, count(*) filter (len(list_filter(n, lambda v: contains(v, 'websearch') or contains(v, 'fetchpage'))) = 0) as r1,"
+    " count(*) filter (depth = 'quick' and len(list_filter(n, lambda v: contains(v, 'planresearch'))) > 0) as r2, count(*) filter (tokens > 180000) as b1, count(*) filter (wall_clock_sec > 240) as b2, count(*) filter (cost_usd > 0.35) as b3 from r left join s using (run_id)),"
+    f" me as ({_metrics}), tg(metric, comparator, target) as (values " + ", ".join(f"('{m}', '{c}', {t}::double)" for m, c, t in TARGETS if t <= 1) + "), y as (" + " union all ".join(f"select '{n}' as rule, checked, {n.lower()} as failing from x" for n in ("A1", "A2", "A3", "R1", "R2", "B1", "B2", "B3"))
+    + " union all select 'E1', count(*), case when count(*) < 30 then 1 else 0 end from eval_items union all select 'E2', count(*), count(*) filter (not case when comparator = '<=' then actual <= target else actual >= target end) from me join tg using (metric)) select *, failing = 0 as passes from y",
     "run_gates": f"with n as (select depth, list_transform({_ordered}, lambda x: coalesce({_low('tool_calls[x.i].name')}, '')) as n, coalesce(len(tool_calls), 0) as calls from {R_} where depth is not null), g as (select depth, count(*) as runs, max(calls)::int as most_calls,"
     " count(*) filter (case when depth = 'deep' then coalesce(len(n), 0) > 0 and contains(n[1], 'planresearch') else coalesce(len(list_filter(n, lambda x: contains(x, 'planresearch'))), 0) = 0 end) as plan, count(*) filter (calls <= case when depth = 'deep' then 24 else 8 end) as c from n group by 1)"
     " select depth, runs, most_calls, 'plan' as gate, plan as passing, plan = runs as pass from g union all select depth, runs, most_calls, 'calls', c, c = runs from g",

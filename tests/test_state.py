@@ -71,6 +71,19 @@ def test_unlisted_models_cost_what_the_dearest_does(spark):
     assert sorted(r.cost for r in audit.priced(df, "name", ["i", "o"], prices).collect()) == [3.0, 3.0, 9.0]
 
 
+def test_incoherent_expectations():
+    assert audit.incoherent({"tokens": 1, "calls": 0}, {"recall": 1.5, "grounding": 0.9}, {"a", "b"}, {"b"}) == ["budget.calls must be a positive number", "recall is outside 0..1", "b is both required and forbidden"]
+    assert audit.incoherent({"tokens": 1.5}, {}, {"a"}, {"b"}) == []
+
+
+def test_placed(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(1, f"Intro. {words.upper()}, end"), (2, f"x{words}"), (3, words[:-9]), (4, None), (5, f"{words}\n{words}")], "d long, t string")
+    items = spark.createDataFrame([(1, words), (2, "one two"), (3, None), (4, "no " * 20), (5, words + " end")], "i int, a string")
+    got = {r.i: (r.documents, r.first, r.problem) for r in audit.placed(items, "i", "a", docs, "d", "t").collect()}
+    assert got == {1: (2, 1, "several"), 2: (0, None, "too short"), 3: (0, None, "missing"), 4: (0, None, "nowhere"), 5: (1, 1, None)}
+
+
 @pytest.mark.parametrize("text, want", [("p. 3", (3, None)), ("Page 12", (12, None)), ("7 of 9", (7, None)), ("section 4", (None, "section 4")), ("", (None, ""))])
 def test_locator(spark, text, want):
     r = spark.createDataFrame([(text,)], "t string").selectExpr(f"{audit.locator('t')} as l").first().l
