@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from groundwork.llm import percentiles as pct
 from groundwork.llm.leaks import find_leaks
-from groundwork.llm.runs import collapse_runs, word_share
+from groundwork.llm.runs import collapse_events, collapse_runs, word_share
 from groundwork.llm.spans import shared_spans
 from groundwork.llm.subjects import found_subjects, subject_shares
 from groundwork.llm.tokens import encode_corpus
@@ -91,6 +91,12 @@ def p2_near(spark: SparkSession, folder: str) -> DataFrame:
     return runs.select("record_id", F.col("first_position").alias("first_step"), F.col("label"), F.col("events").alias("calls"), F.col("total_duration").alias("total_ms"))
 
 
+def p2_event_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Successive events of a user of one type, as one each with their count and duration."""
+    runs = collapse_events(table(spark, folder, "events"), F.col("user_id"), F.col("ts"), F.col("event_id"), F.col("event_type"))
+    return runs.select(F.col("entity").cast("long").alias("user_id"), F.col("label").alias("event_type"), "started_at", "duration_s", "events")
+
+
 def _measures(spark: SparkSession, folder: str) -> DataFrame:
     quick = records(table(spark, folder, "quick_path"), "record_id", "route", "ran_at", "latency_ms", "ttft_ms", "cost_usd")
     quick = quick.where("route is not null")
@@ -146,7 +152,7 @@ def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return by.withColumn("share", F.col("sentences") / total)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_calls, p2_near, p5_found, p5_percentiles, p6_ids, p7_found, p8_found, p8_shares, p8_mixture)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_calls, p2_near, p2_event_runs, p5_found, p5_percentiles, p6_ids, p7_found, p8_found, p8_shares, p8_mixture)}
 
 
 def _latest(name: str, key: str) -> str:
@@ -182,6 +188,7 @@ SQL = {
     "p1_shared": f"with {_SPANS} select src_table, rec_id, length(coalesce(t, '')) as characters, coalesce(shared, 0)::bigint as shared, coalesce(longest, 0) as longest from {_TEXTS} left join (select src_table, rec_id, sum(span_len) as shared, max(span_len) as longest from f group by 1, 2) using (src_table, rec_id)",
     "p2_found": f"select src_table, rec_id, first_step from {_COLLAPSED} where calls > 1",
     "p2_calls": f"select * from {_COLLAPSED}",
+    "p2_event_runs": "select user_id, event_type, min(ts) as started_at, date_diff('microsecond', min(ts), max(ts)) / 1e6::double as duration_s, count(*) as events from (select *, sum(new) over (partition by user_id order by ts, event_id) as g from (select *, case when event_type = lag(event_type) over (partition by user_id order by ts, event_id) then 0 else 1 end as new from events)) where user_id is not null group by user_id, event_type, g",
     "p5_found": f"with {_VALUES} select route, run_day, metric from v where run_day is not null group by 1, 2, 3 having count(*) >= 100 and quantile_disc(v, 0.95) > 6 * quantile_disc(v, 0.5)",
     "p5_percentiles": f"with {_VALUES}, e as (select route, unnest([run_day, 'all']) as run_day, metric, v from v), g as (select route, run_day, metric, count(*) as n, quantile_disc(v, [0.5, 0.9, 0.95, 0.99]) as q from e where run_day is not null group by 1, 2, 3) select route, run_day, metric, unnest([50.0, 90.0, 95.0, 99.0])::double as percentile, unnest(q) as value, n from g",
 }

@@ -11,10 +11,16 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundwork.runtime import durable
+from groundwork.sources.tables import from_micros, micros
+
 Distance = Callable[[str, str], float]
 
 SCHEMA = "first_position int, last_position int, label string, events int, total_duration long"
@@ -150,3 +156,68 @@ def collapse_runs(
     )
     out = picked.mapInArrow(run, schema)
     return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], *[c.split()[0] for c in SCHEMA.split(", ")])
+
+
+_EVENTS = "entity string, label string, first_us long, last_us long, first_id string, events long, slice int, edge int"
+_EVENT_COLUMNS = [c.split()[0] for c in _EVENTS.split(", ")]
+_FIRST, _LAST = 1, 2
+
+
+def _slice_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The runs of a sorted slice of events; its first and last one are marked, as they may go on in the slices beside."""
+    place, held, edge = TaskContext.get().partitionId(), None, _FIRST
+    for batch in batches:
+        if not len(batch):
+            continue
+        entity, label, us, key = (batch[c].to_numpy() for c in ("entity", "label", "us", "id"))
+        known = batch["label"].notna().to_numpy()
+        new = np.ones(len(batch), bool)
+        new[1:] = (entity[1:] != entity[:-1]) | (label[1:] != label[:-1]) | ~known[1:]
+        at = np.flatnonzero(new)
+        end = np.append(at[1:], len(batch))
+        runs = [(entity[a], label[a] if known[a] else None, int(us[a]), int(us[z - 1]), key[a], int(z - a)) for a, z in zip(at, end, strict=True)]
+        if held is not None:
+            first = runs[0]
+            if held[1] is not None and held[:2] == first[:2]:
+                runs[0] = (*held[:3], first[3], held[4], held[5] + first[5])
+            else:
+                runs.insert(0, held)
+        held = runs.pop()
+        out = [(*r, place, 0) for r in runs]
+        if out:
+            out[0] = (*out[0][:-1], edge)
+            edge = 0
+        yield pd.DataFrame(out, columns=_EVENT_COLUMNS)
+    if held is not None:
+        yield pd.DataFrame([(*held, place, edge | _LAST)], columns=_EVENT_COLUMNS)
+
+
+def _joined_edges(group: pd.DataFrame) -> pd.DataFrame:
+    """Of one entity the runs at its slices' edges, two a slice at most: those that go on over an edge as one."""
+    out: list[tuple] = []
+    for row in group.sort_values(["slice", "edge"], kind="stable")[_EVENT_COLUMNS].itertuples(index=False, name=None):
+        before = out[-1] if out else None
+        if before and before[6] < row[6] and before[7] & _LAST and row[7] & _FIRST and before[1] is not None and before[1] == row[1]:
+            out[-1] = (*before[:3], row[3], before[4], before[5] + row[5], *row[6:])
+        else:
+            out.append(row)
+    return pd.DataFrame(out, columns=_EVENT_COLUMNS)
+
+
+def collapse_events(df: DataFrame, entity: Column, ts: Column, event_id: Column, label: Column) -> DataFrame:
+    """(entity, label, started_at, ended_at, duration_s, events): every run of successive events of an entity with one label,
+    for events that are rows. Any number of events may belong to one entity.
+
+    Events are ordered by time and id, and spread by range, so that an entity has as many tasks as its share of the rows asks
+    for; only the runs at the edges of slices meet, two a slice at most. Events without entity, time or id are left out; a
+    null label is a run of its own; repeated rows count each. For labels that are merely alike use collapse_runs.
+    """
+    keyed = df.select(entity.cast("string").alias("entity"), micros(ts).alias("us"), event_id.cast("string").alias("id"), label.cast("string").alias("label"))
+    keyed = keyed.where("entity is not null and us is not null and id is not null")
+    # ids as wide as they may be, so that numbers stand in their order
+    order = ["entity", "us", F.length("id"), "id"]
+    runs = durable(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_slice_runs, _EVENTS))
+    edges = runs.where("edge > 0").groupBy("entity").applyInPandas(_joined_edges, _EVENTS)
+    every = runs.where("edge = 0").unionByName(edges)
+    seconds = (F.col("last_us") - F.col("first_us")) / 1e6
+    return every.select("entity", "label", from_micros(F.col("first_us")).alias("started_at"), from_micros(F.col("last_us")).alias("ended_at"), seconds.alias("duration_s"), "events")

@@ -53,3 +53,33 @@ def test_near_identical_labels(spark):
     df = spark.createDataFrame([(1, ["page_1", "page_2", "page_1", "other"], [1, 2, 3, 4], [1, 1, 1, 1])], "id int, l array<string>, p array<int>, d array<long>")
     got = [(r.label, r.events) for r in collapse_runs(df, ["id"], "l", "p", "d", 0.5, edit_share).orderBy("first_position").collect()]
     assert got == [("page_1", 3), ("other", 1)]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_events_as_rows_equal_brute_force(spark, parts):
+    import random
+    from itertools import groupby
+
+    from pyspark.sql import functions as F
+
+    from groundwork.llm.runs import collapse_events
+
+    rng = random.Random(parts)
+    rows = [(rng.choice(["u", "u", "u", "v", None]), rng.randint(0, 400), i, rng.choice("aaab") if i % 11 else None) for i in range(900)]
+    rows += [("long", i, 1000 + i, "x") for i in range(500)] + [(None, 1, 5000, "x"), ("w", None, 5001, "x")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "user string, s int, id int, kind string").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = sorted(tuple(r) for r in collapse_events(df, F.col("user"), F.col("ts"), F.col("id"), F.col("kind")).select("entity", F.unix_seconds(F.col("started_at").cast("timestamp")), "events", "duration_s", F.coalesce("label", F.lit("-"))).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = []
+    ordered = sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[:3])
+    for (user, kind, _), own in groupby(ordered, key=lambda r: (r[0], r[3], r[2] if r[3] is None else -1)):
+        own = list(own)
+        want.append((user, own[0][1], len(own), float(own[-1][1] - own[0][1]), kind or "-"))
+    assert got == sorted(want)
+    assert collapse_events(df.limit(0), F.col("user"), F.col("ts"), F.col("id"), F.col("kind")).count() == 0
