@@ -40,26 +40,28 @@ def depth(most: int, weights: tuple[float, float]) -> int:
 
 
 class Asked(NamedTuple):
-    """The questions' side of the products: keys, vectors, and the weights of terms, one column per question."""
+    """The questions' side of the products: keys, vectors, and the weights of terms, one column per question; the corpus' mean length;
+    and how many distinct terms each question has."""
 
     keys: np.ndarray
     dense: np.ndarray
     lexical: np.ndarray
     mean_length: float
+    terms: np.ndarray
 
 
 def packed(corpus: DataFrame, key: str, text: str, terms: DataFrame, dense: bool = True) -> DataFrame:
-    """(key, places, weights, terms, counts, length) of every text that isn't null: its sparse vector, if dense, and its counts of
-    the given terms (term, id)."""
+    """(key, places, weights, terms, counts, length, distinct) of every text that isn't null: its sparse vector, if dense, its counts
+    of the given terms (term, id), and how many tokens and distinct ones it has."""
     tokenised = corpus.where(F.col(text).isNotNull()).select(key, F.expr(T.tokens(text)).alias("t"))
     counts = tokenised.select(key, F.explode("t").alias("term")).join(broadcast_if_small(terms, "term"), "term").groupBy(key, "id").agg(F.count("*").alias("n"))
     counts = counts.groupBy(key).agg(F.collect_list(F.struct("id", "n")).alias("c"))
-    both = tokenised.select(key, F.size("t").alias("length")).join(counts, key, "left")
+    both = tokenised.select(key, F.size("t").alias("length"), F.size(F.array_distinct("t")).alias("distinct")).join(counts, key, "left")
     if not dense:
-        return both.select(key, F.expr("c.id as terms"), F.expr("c.n as counts"), "length")
+        return both.select(key, F.expr("c.id as terms"), F.expr("c.n as counts"), "length", "distinct")
     vectors = R.embedded(corpus.where(F.col(text).isNotNull()), key, text).groupBy(key).agg(F.collect_list(F.struct("idx", "w")).alias("v"))
     both = both.join(vectors, key, "left")
-    return both.select(key, F.expr("v.idx as places"), F.expr("v.w as weights"), F.expr("c.id as terms"), F.expr("c.n as counts"), "length")
+    return both.select(key, F.expr("v.idx as places"), F.expr("v.w as weights"), F.expr("c.id as terms"), F.expr("c.n as counts"), "length", "distinct")
 
 
 def _flat(values: pd.Series, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +76,13 @@ def _rounded(x: np.ndarray) -> np.ndarray:
     return np.floor(x * 1e6 + 0.5) / 1e6
 
 
+def _counts(batch: pd.DataFrame, asked: Asked) -> np.ndarray:
+    rows, counts = np.arange(len(batch)), np.zeros((len(batch), len(asked.lexical)))
+    at, terms = _flat(batch["terms"], rows)
+    counts[at, terms.astype(np.int64)] = _flat(batch["counts"], rows)[1]
+    return counts
+
+
 def scored(batch: pd.DataFrame, asked: Asked) -> tuple[np.ndarray, np.ndarray]:
     """Dense and lexical scores of a block, documents by questions."""
     rows = np.arange(len(batch))
@@ -83,9 +92,7 @@ def scored(batch: pd.DataFrame, asked: Asked) -> tuple[np.ndarray, np.ndarray]:
         at, places = _flat(batch["places"], rows)
         vectors[at, places.astype(np.int64)] = _flat(batch["weights"], rows)[1]
         dense = _rounded(vectors @ asked.dense)
-    counts = np.zeros((len(batch), len(asked.lexical)))
-    at, terms = _flat(batch["terms"], rows)
-    counts[at, terms.astype(np.int64)] = _flat(batch["counts"], rows)[1]
+    counts = _counts(batch, asked)
     length = batch["length"].to_numpy(float)[:, None]
     counts = counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / asked.mean_length))
     return dense, _rounded(counts @ asked.lexical)
@@ -106,7 +113,7 @@ class Search:
 
     def _run(self, emit, schema: str) -> DataFrame:  # noqa: ANN001
         shared = self.shared
-        columns = [self.key, *[c for c in ("places", "weights", "terms", "counts", "length") if c in self.corpus.columns]]
+        columns = [self.key, *[c for c in ("places", "weights", "terms", "counts", "length", "distinct") if c in self.corpus.columns]]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             asked = Asked(*shared.value)
@@ -160,8 +167,8 @@ def prepared(corpus: DataFrame, key: str, text: str, questions: DataFrame, quest
     idf = F.log(1 + (F.lit(size["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = asked.join(df, "id").select("q", "id", (F.col("qn") * idf).alias("w"))
     vectors = R.embedded(questions, question_key, question).select(F.col(question_key).alias("q"), "idx", "w")
-    each = asked.groupBy("q").agg(F.max("id").alias("last")).toPandas()
-    keys, width, rounds = sorted(each["q"]), int(each["last"].max() + 1) if len(each) else 0, []
+    each = asked.groupBy("q").agg(F.max("id").alias("last"), F.count("*").alias("n")).toPandas().sort_values("q")
+    keys, sizes, width, rounds = each["q"].tolist(), each["n"].to_numpy(float), int(each["last"].max() + 1) if len(each) else 0, []
     step = max(1, BROADCAST_BYTES // (8 * (R.DIMENSIONS + max(width, 1))))
     for start in range(0, len(keys), step):
         own = np.asarray(keys[start : start + step], np.int64)
@@ -172,7 +179,7 @@ def prepared(corpus: DataFrame, key: str, text: str, questions: DataFrame, quest
             v = vectors.where(within).toPandas()
             places[v["idx"].to_numpy(np.int64), np.searchsorted(own, v["q"])] = v["w"]
         lexical[w["id"].to_numpy(np.int64), np.searchsorted(own, w["q"])] = w["w"]
-        rounds.append(Asked(own, places, lexical, float(size["mean"] or 1.0)))
+        rounds.append(Asked(own, places, lexical, float(size["mean"] or 1.0), sizes[start : start + step]))
     release(asked)
     return docs, rounds
 
@@ -222,6 +229,35 @@ def lexical_best(corpus: DataFrame, key: str, text: str, questions: DataFrame, q
     return R.ranked(out, question_key, key, most)
 
 
+def remembered(
+    corpus: DataFrame, key: str, text: str, questions: DataFrame, question_key: str, question: str, most: int, least: float = 0.06, weights: tuple[float, float] = (0.4, 0.6)
+) -> DataFrame:
+    """(question_key, key, score, rank): the best most texts of every question by cosine and by the share of the shorter one's
+    distinct words that both have, of at least the given score; equal ones by key."""
+    docs, rounds = prepared(corpus, key, text, questions, question_key, question)
+    out = None
+    for asked in rounds:
+        search = Search(docs, key, asked)
+        shared = search.shared
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            asked = Asked(*shared.value)
+            for block in _blocks(batches):
+                both = (_counts(block, asked) > 0).astype(float) @ (asked.lexical > 0).astype(float)
+                shorter = np.minimum(block["distinct"].to_numpy(float)[:, None], asked.terms[None, :])
+                s = _rounded(weights[0] * scored(block, asked)[0] + weights[1] * (both / np.maximum(shorter, 1)))
+                edge = np.partition(s, len(s) - most, axis=0)[len(s) - most] if len(s) > most else np.full(s.shape[1], -np.inf)
+                d, q = np.nonzero((s >= edge) & (s >= least))
+                yield pd.DataFrame({"q": asked.keys[q], "k": block.iloc[:, 0].to_numpy(np.int64)[d], "score": s[d, q]})
+
+        found = docs.select(key, "places", "weights", "terms", "counts", "length", "distinct").mapInPandas(run, "q long, k long, score double")
+        found = found.select(F.col("q").alias(question_key), F.col("k").alias(key), "score")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = questions.select(F.col(question_key).cast("long"), F.lit(0).cast("long").alias(key), F.lit(0.0).alias("score")).limit(0)
+    return R.ranked(out, question_key, key, most)
+
+
 def nearest(vectors: DataFrame, key: str, vector: str, group: str, asked: DataFrame, most: int) -> DataFrame:
     """(query_id, key, score, rank): for every row of asked the most nearest others of its group by cosine, equal ones by key.
 

@@ -49,15 +49,7 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
 def memory_search(spark: SparkSession, folder: str) -> DataFrame:
     """Memories for every question: cosine and the overlap of words, with a floor."""
     m = table(spark, folder, "documents").where("source = 'memory' and text is not null").select("doc_id", "text")
-    asked = _questions(spark, folder)
-    cos = R.cosines(R.embedded(asked, "item_id", "question"), "item_id", R.embedded(m, "doc_id", "text"), "doc_id")
-    qt, mt = R.terms(asked, "item_id", "question"), R.terms(m, "doc_id", "text")
-    sizes = mt.groupBy("doc_id").agg(F.count("*").alias("ms")), qt.groupBy("item_id").agg(F.count("*").alias("qs"))
-    shared = mt.select("doc_id", "term").join(broadcast_if_small(qt.select("item_id", "term"), "term"), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
-    both = cos.join(shared, ["item_id", "doc_id"], "left").join(sizes[0], "doc_id").join(sizes[1], "item_id")
-    overlap = F.coalesce("shared", F.lit(0)) / F.least("qs", "ms")
-    scored = both.select("item_id", "doc_id", R.rounded(0.4 * F.col("score") + 0.6 * overlap).alias("score")).where("score >= 0.06")
-    return R.ranked(scored, "item_id", "doc_id", 5)
+    return blocks.remembered(m, "doc_id", "text", _questions(spark, folder), "item_id", "question", 5)
 
 
 def namespace_rank(spark: SparkSession, folder: str) -> DataFrame:

@@ -36,6 +36,22 @@ def test_lexical_and_hybrid(spark, monkeypatch, bytes_):
     assert rows(fused(blocks.hybrid(docs, "doc_id", "text", asked, "item_id", "question", 6))) == rows(fused(R.fused(dense, lexical, "item_id", "doc_id", 0.4)))
 
 
+def test_remembered(spark):
+    docs, asked = tables(spark)
+    known = docs.where("text is not null")
+    cosines = {(r.item_id, r.doc_id): r.score for r in R.cosines(R.embedded(asked.where("question is not null"), "item_id", "question"), "item_id", R.embedded(known, "doc_id", "text"), "doc_id").collect()}
+    words = lambda t: {w for w in t.lower().split() if len(w) > 1}
+    want = []
+    for q in asked.where("question is not null").collect():
+        near = []
+        for d in known.collect():
+            both = len(words(q.question) & words(d.text)) / max(1, min(len(words(q.question)), len(words(d.text))))
+            score = int((0.4 * cosines.get((q.item_id, d.doc_id), 0.0) + 0.6 * both) * 1e6 + 0.5) / 1e6
+            near += [(-score, d.doc_id)] if score >= 0.06 else []
+        want += [(q.item_id, r, k, round(-s, 6)) for r, (s, k) in enumerate(sorted(near)[:4], 1)]
+    assert rows(blocks.remembered(docs, "doc_id", "text", asked, "item_id", "question", 4)) == sorted(want)
+
+
 def test_empty_sides(spark):
     docs, asked = tables(spark, 3, 2)
     for d, q in ((docs.limit(0), asked), (docs, asked.limit(0))):
