@@ -98,6 +98,9 @@ SQL = {
     "circuit_breaker": f"with recursive {_ev('user_id')}, r as (select user_id, event_id, rn, 'closed' as state, false as rejected, case when failed and counts then 1 else 0 end as failures, null::bigint as opened from e where rn = 1 union all"
     " select user_id, event_id, rn, m, m = 'open', case when m = 'open' then f0 when not failed then 0 when counts then f0 + 1 else f0 end, case when m = 'open' then o0 when not failed then null when counts and (m = 'half_open' or f0 + 1 >= 2) then us else o0 end"
     " from (select e.*, r.failures as f0, r.opened as o0, case when r.opened is null then 'closed' when e.us < r.opened + 7200000000 then 'open' else 'half_open' end as m from r join e on e.user_id = r.user_id and e.rn = r.rn + 1)) select user_id, event_id, state, rejected from r",
+    "lru_cache_hits": f"with recursive {_ev('user_id')}, r as (select user_id, event_id, rn, [{{'k': event_type, 'u': us + 604800000000}}] as held, false as hit, false as evicted from e where rn = 1 union all"
+    " select user_id, event_id, rn, case when len(h) > 3 then h[2:] else h end, hit, len(h) > 3 from (select *, list_append(rest, {'k': event_type, 'u': case when hit then found[1].u else us + 604800000000 end}) as h from (select *, len(found) > 0 as hit from"
+    " (select e.*, list_filter(r.held, lambda x: x.k <> e.event_type) as rest, list_filter(r.held, lambda x: x.k = e.event_type and e.us < x.u) as found from r join e on e.user_id = r.user_id and e.rn = r.rn + 1)))) select user_id, event_id, hit, evicted from r",
     "budget_fold": f"with recursive c as (select run_id, i - 1 as i, case when contains(n, 'websearch') then 'search' when contains(n, 'fetchpage') then 'fetch' else 'other' end as kind, not c.ok as failed from (select run_id, i, c, lower(regexp_replace(c.name, '[^A-Za-z]', '', 'g')) as n from (select run_id, unnest(range(1, len(tool_calls) + 1)) as i, unnest(tool_calls) as c from {latest('runs', 'run_id')}))),"
     " r as (select run_id, -1 as i, 0 as calls, 0 as searches, 0 as fetches, 0 as refunded, false as capped from c where i = 0 union all select run_id, i, calls + (ok and not back)::int, searches + (ok and kind = 'search' and not back)::int, fetches + (ok and kind = 'fetch' and not back)::int, refunded + back::int, not ok"
     " from (select *, ok and kind <> 'other' and coalesce(failed, false) and refunded < 3 as back from (select c.*, r.calls, r.searches, r.fetches, r.refunded, not (r.capped or r.calls >= 12 or (c.kind = 'search' and r.searches >= 4) or (c.kind = 'fetch' and r.fetches >= 6)) as ok from r join c on c.run_id = r.run_id and c.i = r.i + 1)))"
