@@ -101,6 +101,12 @@ SQL = {
     "lru_cache_hits": f"with recursive {_ev('user_id')}, r as (select user_id, event_id, rn, [{{'k': event_type, 'u': us + 604800000000}}] as held, false as hit, false as evicted from e where rn = 1 union all"
     " select user_id, event_id, rn, case when len(h) > 3 then h[2:] else h end, hit, len(h) > 3 from (select *, list_append(rest, {'k': event_type, 'u': case when hit then found[1].u else us + 604800000000 end}) as h from (select *, len(found) > 0 as hit from"
     " (select e.*, list_filter(r.held, lambda x: x.k <> e.event_type) as rest, list_filter(r.held, lambda x: x.k = e.event_type and e.us < x.u) as found from r join e on e.user_id = r.user_id and e.rn = r.rn + 1)))) select user_id, event_id, hit, evicted from r",
+    "queue_claims": f"with recursive {_ev('user_id')}, q as (select *, k::int % 5 as job, case event_type when 'view' then 'add' when 'click' then 'claim' when 'purchase' then 'complete' when 'error' then 'fail' else 'none' end as kind from e),"
+    " r as (select user_id, 0::bigint as event_id, 0::bigint as rn, [{'j': -1, 's': 'none', 't': 0, 'u': 0::bigint}] as jobs, null::int as claimed, null::varchar as status from q where rn = 1 union all"
+    " select user_id, event_id, rn, jobs, case when kind = 'claim' then jobs[pos].j end, case when kind = 'claim' then case when pos > 0 then 'running' end else list_filter(jobs, lambda x: x.j = job)[1].s end from (select *, case when kind = 'add' and not known then list_append(held, {'j': job, 's': 'queued', 't': 0, 'u': 0::bigint})"
+    " else list_transform(held, lambda x, i: case when i is distinct from pos then x when kind = 'claim' then {'j': x.j, 's': 'running', 't': x.t + (x.s = 'queued')::int, 'u': us + 3600000000} when kind = 'complete' then {'j': x.j, 's': 'completed', 't': x.t, 'u': 0::bigint}"
+    " else {'j': x.j, 's': case when x.t < 3 then 'queued' else 'failed' end, 't': x.t, 'u': 0::bigint} end) end as jobs from (select q.*, r.jobs as held, len(list_filter(r.jobs, lambda x: x.j = q.job)) > 0 as known, case when q.kind = 'claim' then list_position(list_transform(r.jobs, lambda x: x.s = 'queued' or (x.s = 'running' and x.u <= q.us)), true)"
+    " when q.kind in ('complete', 'fail') then list_position(list_transform(r.jobs, lambda x: x.j = q.job and x.s = 'running'), true) end as pos from r join q on q.user_id = r.user_id and q.rn = r.rn + 1))) select user_id, event_id, claimed, status from r where rn > 0",
     "budget_fold": f"with recursive c as (select run_id, i - 1 as i, case when contains(n, 'websearch') then 'search' when contains(n, 'fetchpage') then 'fetch' else 'other' end as kind, not c.ok as failed from (select run_id, i, c, lower(regexp_replace(c.name, '[^A-Za-z]', '', 'g')) as n from (select run_id, unnest(range(1, len(tool_calls) + 1)) as i, unnest(tool_calls) as c from {latest('runs', 'run_id')}))),"
     " r as (select run_id, -1 as i, 0 as calls, 0 as searches, 0 as fetches, 0 as refunded, false as capped from c where i = 0 union all select run_id, i, calls + (ok and not back)::int, searches + (ok and kind = 'search' and not back)::int, fetches + (ok and kind = 'fetch' and not back)::int, refunded + back::int, not ok"
     " from (select *, ok and kind <> 'other' and coalesce(failed, false) and refunded < 3 as back from (select c.*, r.calls, r.searches, r.fetches, r.refunded, not (r.capped or r.calls >= 12 or (c.kind = 'search' and r.searches >= 4) or (c.kind = 'fetch' and r.fetches >= 6)) as ok from r join c on c.run_id = r.run_id and c.i = r.i + 1)))"
